@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lookalike, packing, tokens
+from . import credentials, lookalike, packing, tokens
 from .common import table
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credential_lines(table(spark, sf_dir, "chunks"))
+
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.masked_contents(table(spark, sf_dir, "chunks"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
@@ -27,7 +35,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p7_ids, p8_packed, p9_found, p9_forms]
+    found = [p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
     return {f.__name__: f for f in found}
 
 
