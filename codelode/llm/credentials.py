@@ -51,9 +51,9 @@ NAME = r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)"
 #: name, closing quote or bracket, type annotation, operator, value
 ASSIGN = re.compile(
     NAME + r"\\?[\"'`]?\]?[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\], .|]*?[ \t]*=(?!=)|:=|=>|=(?![=>])|:(?!:)|,)[ \t]*"
-    r"(?P<open>\(\s*)?(?P<prefix>[rbuf]{0,2}(?=[\"'`]))?(?:(?P<q>\\?\"\"\"|'''|\\?\"|\\?'|`)(?P<quoted>(?:(?!(?P=q))[^\n\\]|\\(?![\"'])[^\n]|\\\n)*)|(?P<bare>[^\s\"'`,;(){}\[\]]+))"
+    r"(?P<open>\(\s*)?(?P<prefix>[rbuf]{0,2}(?=[\"'`]))?(?:(?P<q>\\?\"\"\"|'''|\\?\"|\\?'|`)(?P<quoted>(?:(?!(?P=q))[^\n\\]|\\(?![\"'])[^\n]|\\\r?\n)*)|(?P<bare>[^\s\"'`,;(){}\[\]]+))"
 )
-JOIN = re.compile(r"(?:[ \t]*(?:\+|\.|\\)?[ \t]*\\?\n?[ \t]*(?:\+|\.)?[ \t]*)[rbuf]{0,2}(?P<q>\"|'|`)(?P<v>[^\"'`\n]*)(?P=q)")
+JOIN = re.compile(r"(?:[ \t]*(?:\+|\.|\\)?[ \t]*\\?\r?\n?[ \t]*(?:\+|\.)?[ \t]*)[rbuf]{0,2}(?P<q>\"|'|`)(?P<v>[^\"'`\n]*)(?P=q)")
 PROSE = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api[ _-]?key|credentials?|login)\b[^\n\"'`=:]{0,40}?(?:\bis\b|\bwith\b|\bto\b|\bwas\b|\bare\b|:|=)\s+[\"'`]?(?P<v>[^\s\"'`,;()]{6,})")
 PLACEHOLDER = re.compile(
     r"(?i)(?:your|my|the)?[_\-]?(?:change[_\-]?me.*|replace[_\-]?me.*|none|null|nil|undefined|true|false|todo|tbd|fixme|redacted|masked|hidden|removed|"
@@ -238,9 +238,8 @@ class Finder:
             parts = []
             if m.end() < len(text) and text[m.end()] in "\"'`":
                 parts = self._parts(text, m.end() + 1)
-            elif text.startswith("\\\n", m.end()):
-                tail = re.compile(r"\\\n([A-Za-z0-9+/=_.\-]+)").match(text, m.end())
-                parts = [tail.span(1)] if tail else []
+            elif tail := re.compile(r"\\\r?\n([A-Za-z0-9+/=_.\-]+)").match(text, m.end()):
+                parts = [tail.span(1)]
             whole = body + "".join(text[x:y] for x, y in parts)
             if len(whole) < 12 or PLACEHOLDER.fullmatch(body) or re.search(r"(?i)example|x{5,}|(.)\1{6,}|your[_-]", whole):
                 continue
@@ -272,10 +271,9 @@ class Finder:
                     continue
                 closed = text.startswith(m["q"], m.end())
                 parts: list[tuple[int, int]] = []
-                if "\\\n" in value:
-                    cut = value.index("\\\n")
-                    parts = [(span[0] + cut + 2, span[1])]
-                    span, value = (span[0], span[0] + cut), value.replace("\\\n", "")
+                if wrap := re.search(r"\\\r?\n", value):
+                    parts = [(span[0] + wrap.end(), span[1])]
+                    span, value = (span[0], span[0] + wrap.start()), value[: wrap.start()] + value[wrap.end() :]
                 elif closed:
                     parts = self._parts(text, m.end() + len(m["q"]))
                     value += "".join(text[x:y] for x, y in parts)

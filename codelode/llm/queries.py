@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, lookalike, packing, tokens
+from . import credentials, lookalike, packing, splitting, tokens
 from .common import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.boundary_lines(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.credential_lines(table(spark, sf_dir, "chunks"))
 
@@ -35,7 +43,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
+    found = [p3_found, p3_pieces, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
     return {f.__name__: f for f in found}
 
 
