@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, lookalike, packing, splitting, tokens
+from . import credentials, handwritten, lookalike, packing, splitting, tokens
 from .common import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks")).select("project_id", "rel_path").distinct()
+
+
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.boundary_lines(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
 
@@ -43,7 +51,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p3_found, p3_pieces, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
+    found = [p2_found, p2_reasons, p3_found, p3_pieces, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
     return {f.__name__: f for f in found}
 
 
