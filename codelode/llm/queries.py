@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, handwritten, lookalike, packing, splitting, tokens
+from . import credentials, handwritten, lookalike, packing, spans, splitting, tokens
 from .common import table
 
 
@@ -26,6 +26,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.sharing_chunks(table(spark, sf_dir, "chunks"))
+
+
+def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_share(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.credential_lines(table(spark, sf_dir, "chunks"))
 
@@ -51,7 +59,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_reasons, p3_found, p3_pieces, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
+    found = [p2_found, p2_reasons, p3_found, p3_pieces, p5_found, p5_share, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
     return {f.__name__: f for f in found}
 
 
