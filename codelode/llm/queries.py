@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, handwritten, lookalike, packing, spans, splitting, tokens
+from . import credentials, handwritten, lookalike, neighbours, packing, spans, splitting, tokens
 from .common import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "chunk_vectors"))
+
+
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_chunks(table(spark, sf_dir, "chunk_vectors"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf_dir, "files"), table(spark, sf_dir, "chunks")).select("project_id", "rel_path").distinct()
 
@@ -59,7 +67,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_reasons, p3_found, p3_pieces, p5_found, p5_share, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
+    found = [p1_found, p1_neighbours, p2_found, p2_reasons, p3_found, p3_pieces, p5_found, p5_share, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
     return {f.__name__: f for f in found}
 
 
