@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, handwritten, lookalike, neighbours, packing, spans, splitting, tokens
+from . import credentials, handwritten, lookalike, neighbours, packing, spans, splitting, syntax, tokens
 from .common import table
 
 
@@ -34,6 +34,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "split_limits"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_files(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "file_kinds")).select("project_id", "rel_path")
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.invalid_rates(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "file_kinds"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.sharing_chunks(table(spark, sf_dir, "chunks"))
 
@@ -67,7 +75,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_neighbours, p2_found, p2_reasons, p3_found, p3_pieces, p5_found, p5_share, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
+    found = [p1_found, p1_neighbours, p2_found, p2_reasons, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_share, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
     return {f.__name__: f for f in found}
 
 
