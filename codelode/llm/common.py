@@ -76,3 +76,23 @@ def file_texts(chunks: DataFrame, *, where: Column | None = None) -> DataFrame:
             ).alias("text"),
         )
     )
+
+
+BUCKET_BITS = 32_768  # bits of one bitmap of Spark's bitmap functions
+FILTER_BITS = 1 << 23  # one megabyte altogether, whatever the input
+
+
+def possibly_in(rows: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+    """Rows whose key may be among the wanted ones: all that are, few others. For thinning out before a shuffle.
+
+    The filter is a bitmap of FILTER_BITS over hashes of the keys; only it is broadcast, so its size doesn't grow with the data.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("bigint")
+    bits = (
+        wanted.select(spot(F.col(wanted_column)).alias("_p"))
+        .groupBy(F.expr(f"_p div {BUCKET_BITS}").alias("_bucket"))
+        .agg(F.bitmap_construct_agg(F.col("_p") % BUCKET_BITS).alias("_bits"))
+    )
+    at = rows.withColumn("_p", spot(F.col(column))).withColumn("_bucket", F.expr(f"_p div {BUCKET_BITS}"))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((_p % {BUCKET_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return at.join(F.broadcast(bits), "_bucket").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_p % 8 as int))")) != 0).drop("_p", "_bucket", "_bits")

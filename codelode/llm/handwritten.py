@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_texts, stored
+from .common import file_texts, possibly_in, stored
 
 SHINGLE, SIMILAR = 5, 0.8
 
@@ -250,12 +250,14 @@ ORDER_SAMPLE = 2000  # texts from which the frequent shingles are known; they on
 def copies_of(known: DataFrame, others: DataFrame) -> DataFrame:
     """Digests of the others whose shingle set has a Jaccard similarity of SIMILAR or more with a known one. Exact.
 
-    Both: (digest, shingles), distinct. In an order common to both sides, two such sets share one of their first
-    n - ceil(SIMILAR * n) + 1 shingles; frequent ones come last in that order, so that no hot key arises.
+    Both: (digest, shingles), equal texts may be repeated. In an order common to both sides, two such sets share one of
+    their first n - ceil(SIMILAR * n) + 1 shingles; frequent ones come last in that order, so that no hot key arises. Whole
+    sets are shuffled only for texts that are in a pair.
     """
     both = known.select("digest", "shingles").unionByName(others.select("digest", "shingles"))
-    sample = both.orderBy(F.xxhash64("digest")).limit(ORDER_SAMPLE)
-    frequent = [r["s"] for r in sample.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count >= 10").orderBy(F.desc("count"), "s").limit(20_000).collect()]
+    part = max(1, both.count() // ORDER_SAMPLE)
+    sample = both.where(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0).select(F.explode("shingles").alias("s"))
+    frequent = [r["s"] for r in sample.groupBy("s").count().where("count >= 10").orderBy(F.desc("count"), "s").limit(20_000).collect()]
     late = both.sparkSession.sparkContext.broadcast(np.array(sorted(frequent), dtype=np.int64))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,8 +281,8 @@ def copies_of(known: DataFrame, others: DataFrame) -> DataFrame:
             )
 
     schema = "digest binary, s bigint, n int, at int"
-    a = known.select("digest", "shingles").mapInArrow(prefix, schema).toDF("da", "s", "na", "pa")
-    b = others.select("digest", "shingles").mapInArrow(prefix, schema).toDF("db", "s", "nb", "pb")
+    a = known.select("digest", "shingles").mapInArrow(prefix, schema).distinct().toDF("da", "s", "na", "pa")
+    b = possibly_in(others.select("digest", "shingles").mapInArrow(prefix, schema), "s", a, "s").distinct().toDF("db", "s", "nb", "pb")
     need = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("na") + F.col("nb")) - 1e-9)
     pairs = (
         a.join(b, "s")
@@ -289,7 +291,9 @@ def copies_of(known: DataFrame, others: DataFrame) -> DataFrame:
         .select("da", "db")
         .distinct()
     )
-    sa, sb = known.select(F.col("digest").alias("da"), F.col("shingles").alias("sa")), others.select(F.col("digest").alias("db"), F.col("shingles").alias("sb"))
+    pairs = stored(pairs, "similar")
+    needed = lambda df, c: possibly_in(df.select("digest", "shingles"), "digest", pairs, c).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sa, sb = needed(known, "da").toDF("da", "sa"), needed(others, "db").toDF("db", "sb")
     common = F.size(F.array_intersect("sa", "sb"))
     jaccard = common / (F.size("sa") + F.size("sb") - common)
     return pairs.join(sa, "da").join(sb, "db").where(jaccard >= SIMILAR - 1e-9).select(F.col("db").alias("digest")).distinct()
@@ -304,8 +308,7 @@ def not_handwritten(files: DataFrame, chunks: DataFrame) -> DataFrame:
     named = judged(bare.withColumn("text", F.lit(None).cast("string")))
     own = told.unionByName(named).where("reason <> ''").select("project_id", "rel_path", "reason")
     sets = told.where("shingles is not null and size(shingles) > 0")
-    one = lambda df: df.groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    known, others = one(sets.where("reason = 'third_party'")), one(sets.where("reason = ''"))
+    known, others = sets.where("reason = 'third_party'"), sets.where("reason = ''")
     same = sets.where("reason = 'third_party'").select("digest").distinct()
     similar = copies_of(known, others).unionByName(same).distinct()
     copied = told.where("reason = ''").join(similar, "digest", "left_semi").select("project_id", "rel_path", F.lit("copy").alias("reason"))
