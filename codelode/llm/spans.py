@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shared_dir, stored
+from .common import possibly_in, shared_dir, stored
 
 SPAN, GRAM = 300, 180
 FULL = 10_000  # pairs of two classes with more rows against rows link each row to the other class's first row
@@ -185,7 +185,8 @@ def text_prints(rows: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(a, b, sa, sb): pairs of texts that share a span, with the shared stretches of both."""
     needed = pairs.select(F.col("a").alias("text")).unionByName(pairs.select(F.col("b").alias("text"))).distinct()
-    texts = _prepared(chunks).select("text", "content").join(needed, "text", "left_semi").groupBy("text").agg(F.first("content").alias("content"))
+    needed = stored(needed, "needed")
+    texts = possibly_in(_prepared(chunks).select("text", "content"), "text", needed, "text").join(needed, "text", "left_semi").groupBy("text").agg(F.first("content").alias("content"))
     texts = stored(texts, "texts")
     both = pairs.join(texts.toDF("a", "ca"), "a").join(texts.toDF("b", "cb"), "b").select("a", "b", "ca", "cb")
 
