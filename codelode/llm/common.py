@@ -55,7 +55,7 @@ def file_texts(chunks: DataFrame, *, where: Column | None = None) -> DataFrame:
     rows = F.array_sort(F.collect_list(row))
     latest = F.aggregate(
         F.col("rows"),
-        F.expr("cast(array() as array<struct<chunk_index:int,chunk_id:bigint,v:struct<ingested_at:timestamp_ntz,content:string>>>)"),
+        F.slice("rows", 1, 0),  # an empty array of the same type
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["chunk_id"] == x["chunk_id"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x)),

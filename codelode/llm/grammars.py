@@ -16,6 +16,9 @@ class Fault(Exception):
     """A token that no language has; the offset in the text."""
 
 
+BOM = chr(0xFEFF)
+
+
 def _words(s: str) -> tuple[str, ...]:
     return tuple(s.split())
 
@@ -74,7 +77,7 @@ def python_tokens(text: str) -> tuple[list[str], list[int]]:
         raise Fault(text.index("\0"))
     keywords = frozenset(PY_KEYWORDS)
     depth, indents, fresh = 0, [0], True
-    for m in PY_TOKEN.finditer(text.removeprefix("﻿")):
+    for m in PY_TOKEN.finditer(text.removeprefix(BOM)):
         kind = m.lastgroup
         pos = m.start(kind)
         if kind == "c":
@@ -118,6 +121,8 @@ def python_tokens(text: str) -> tuple[list[str], list[int]]:
         else:
             out.append("STR" if kind == "s" else "NUM")
         at.append(pos)
+    if depth:
+        return out, at  # the text breaks off within brackets
     if not fresh:
         out.append("NL")
         at.append(len(text))
@@ -165,7 +170,7 @@ exprs: star (',' star)* ','?
 star: '*' expr | named
 named: (NAME ':=')? expr
 expr: 'lambda' lambdaparams? ':' expr | test ('if' test 'else' expr)?
-test: operand (BIN operand)*
+test: operand ((BIN | 'not' 'in') operand)*
 operand: PRE* primary post*
 primary: NAME | NUM | STR+ | 'None' | 'True' | 'False' | '...' | '(' ')' | '(' (yield | exprs | named comp) ')' | '[' ']' | '[' (exprs | star comp) ']'
   | '{' '}' | '{' (exprs | named comp | entry (',' entry)* ','? | expr ':' expr comp) '}'
@@ -191,10 +196,10 @@ TS_CONTEXT = _words("async of get set from as type interface namespace module de
 TEMPLATE = r"`(?:[^\\`$]|\\.|\$(?!\{)|\$\{(?:[^{}`]|`(?:[^\\`]|\\.)*`|\{(?:[^{}`]|`(?:[^\\`]|\\.)*`|\{[^{}]*\})*\})*\})*`"
 REGEX = r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*"
 JS_TOKEN = re.compile(
-    rf"""[ \t\f\v ﻿]*(?:
+    rf"""[ \t\f\v\u00a0\ufeff]*(?:
     (?P<i>\#?[^\W\d][\w$]*|\#?\$[\w$]*)
     |(?P<w>(?P<wo>[(,=:\[!&|?{{;+\-*%<>~^]|=>|\breturn|\btypeof|\bcase)[ \t]*(?P<wr>{REGEX}))
-    |(?P<l>(?:\r\n?|[\n  ])\s*)
+    |(?P<l>(?:\r\n?|[\n\u2028\u2029])\s*)
     |(?P<p>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|\+\+|--|&&|\|\||\?\?|\?\.(?!\d)|\*\*|<<|[-+*/%&|^]=|[-+*/%&|^!~<>=()\[\]{{}},:;?@]|\.(?!\d))
     |(?P<n>(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)n?(?![\w$]))
     |(?P<s>"(?:[^"\\\r\n]|\\(?:\r\n|.))*"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*')
@@ -373,7 +378,7 @@ def go_tokens(text: str) -> tuple[list[str], list[int]]:
     out: list[str] = []
     at: list[int] = []
     keywords = frozenset(GO_KEYWORDS)
-    for m in GO_TOKEN.finditer(text.removeprefix("﻿")):
+    for m in GO_TOKEN.finditer(text.removeprefix(BOM)):
         kind = m.lastgroup
         if kind == "i":
             word = m["i"]
@@ -750,7 +755,7 @@ def yaml_tokens(text: str) -> tuple[list[str], list[int]]:
     """Lines as tokens: IN and OUT for depth, DASH, KEY, VAL, flow collections as their own tokens; a block scalar is one VAL."""
     out: list[str] = []
     at: list[int] = []
-    text = text.removeprefix("﻿").replace("\r\n", "\n")
+    text = text.removeprefix(BOM).replace("\r\n", "\n")
     if m := re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text):
         raise Fault(m.start())
     n, i = len(text), 0
@@ -968,7 +973,7 @@ def grammar(suffix: str) -> Grammar:
         soft = {w: (w, "ID") for w in ("match", "case", "type", "_")}
         return Grammar(
             PYTHON.replace("NAME", "ID"), "file", soft,
-            {"BIN": _words("+ - * / // % @ ** << >> & | ^ < > <= >= == != and or in is not"), "PRE": _words("+ - ~ not await"), "AUG": _words("+= -= *= /= //= %= @= **= <<= >>= &= |= ^=")},
+            {"BIN": _words("+ - * / // % @ ** << >> & | ^ < > <= >= == != and or in is"), "PRE": _words("+ - ~ not await"), "AUG": _words("+= -= *= /= //= %= @= **= <<= >>= &= |= ^=")},
         )
     if suffix in (".js", ".ts"):
         context = JS_CONTEXT if suffix == ".js" else TS_CONTEXT

@@ -14,8 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_right, insort
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,17 +99,14 @@ SCHEMA = "budget_name string, capacity_tokens int, doc_id bigint, piece int, tok
 
 
 def _packer(tag: str):
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["doc_id", "piece", "token_start"], kind="stable").reset_index(drop=True)
-        capacity = int(df["capacity_tokens"].iloc[0])
-        sizes = df["tokens"].astype(int).tolist()
-        name, used = [""] * len(sizes), np.zeros(len(sizes), dtype=np.int64)
-        for b, items in enumerate(pack(sizes, capacity)):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["token_start"]))
+        sizes = [r["tokens"] for r in rows]
+        for b, items in enumerate(pack(sizes, rows[0]["capacity_tokens"])):
             total = sum(sizes[i] for i in items)
             for i in items:
-                name[i], used[i] = f"{tag}{df['grp'].iloc[0]}-{b}", total
-        df["container"], df["used"] = name, used
-        return df
+                rows[i]["container"], rows[i]["used"] = f"{tag}{rows[i]['grp']}-{b}", total
+        return pa.Table.from_pylist(rows, schema=table.schema)
 
     return run
 
@@ -135,7 +131,7 @@ def packed(docs: DataFrame, budgets: DataFrame, *, path: str | None = None, grou
         .withColumn("container", F.lit("")).withColumn("used", F.lit(0).cast("bigint"))
         .select(*cols)
         .groupBy("budget_name", "grp")
-        .applyInPandas(_packer("a"), SCHEMA)
+        .applyInArrow(_packer("a"), SCHEMA)
     )
     first = stored(first, "packed")
     final = F.col("used") >= F.col("capacity_tokens") * F.lit(FULL_ENOUGH)
@@ -144,7 +140,7 @@ def packed(docs: DataFrame, budgets: DataFrame, *, path: str | None = None, grou
     second = (
         rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(regroups)))
         .groupBy("budget_name", "grp")
-        .applyInPandas(_packer("b"), SCHEMA)
+        .applyInArrow(_packer("b"), SCHEMA)
     )
     out = ["budget_name", "capacity_tokens", "doc_id", "piece", "token_start", "token_end", "tokens", "container"]
     none = each.where("tokens <= 0 or tokens is null").select(
