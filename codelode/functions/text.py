@@ -66,18 +66,28 @@ def plain_lines(text: Column) -> Column:
 
 
 def symbol_on(line: Column, ext: Column) -> Column:
-    """struct(name, type) by the first pattern of the suffix that matches the line; null if none does."""
-    out = F.lit(None).cast("struct<name:string,type:string>")
-    for key, patterns in fixed.SYMBOL_PATTERNS.items():
+    """P06-P08: "type name" by the first pattern of the suffix that matches the line; null if none does.
+
+    One expression a pattern, each evaluated once and only for lines of its suffix.
+    """
+    out = F.lit(None).cast("string")
+    for patterns, keys in _shared_patterns():
         found = []
         for pattern, kind in patterns:
-            at = re.compile(pattern).groupindex["name"]
-            name = F.regexp_extract(line, pattern.replace("(?P<", "(?<"), at)
-            found.append(F.when(name != "", F.struct(name.alias("name"), F.lit(kind).alias("type"))))
-        out = F.when(ext == key, F.coalesce(*found)).otherwise(out)
+            name = F.regexp_extract(line, pattern.replace("(?P<", "(?<"), re.compile(pattern).groupindex["name"])
+            found.append(F.nullif(F.concat(F.lit(f"{kind} "), name), F.lit(f"{kind} ")))
+        out = F.when(ext.isin(*keys), F.coalesce(*found)).otherwise(out)
     return out
 
 
+def _shared_patterns():
+    """Pattern lists with all suffixes that have just these."""
+    by: dict[tuple, list[str]] = {}
+    for key, patterns in fixed.SYMBOL_PATTERNS.items():
+        by.setdefault(tuple(patterns), []).append(key)
+    return by.items()
+
+
 def imports_in(text: Column, ext: Column) -> Column:
     """What a text imports, pattern by pattern, each name once, in order of sight."""
     out = F.array().cast("array<string>")

@@ -17,7 +17,7 @@ def extract_symbols(texts: DataFrame) -> DataFrame:
     ext = F.lower(suffix(F.col("rel_path")))
     each = texts.where(ext.isin(*fixed.SYMBOL_PATTERNS)).select(*KEY, ext.alias("_ext"), F.posexplode(lines(F.col("text"))).alias("_at", "_line"))
     found = each.withColumn("_s", symbol_on(F.col("_line"), F.col("_ext"))).where("_s is not null")
-    return found.select(*KEY, F.col("_s.name").alias("name"), F.col("_s.type").alias("type"), (F.col("_at") + 1).alias("line"))
+    return found.select(*KEY, F.substring_index("_s", " ", -1).alias("name"), F.substring_index("_s", " ", 1).alias("type"), (F.col("_at") + 1).alias("line"))
 
 
 def chunk_texts(texts: DataFrame, symbols: DataFrame, longest: int = fixed.CHUNK_LINES) -> DataFrame:
