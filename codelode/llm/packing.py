@@ -23,6 +23,7 @@ from .tokens import token_counts
 
 GROUP = 4096  # texts that one task packs together
 NODES = 600  # search nodes for one container; the incumbent stands when they are used up
+MOST_BUDGETS = 100  # kinds of containers in one call
 FULL_ENOUGH = 0.98  # containers of a group at least this full are final; the others are packed again across groups
 
 
@@ -114,8 +115,11 @@ def _packer(tag: str):
 def packed(docs: DataFrame, budgets: DataFrame, *, path: str | None = None, group: int = GROUP) -> DataFrame:
     """(budget_name, capacity_tokens, doc_id, piece, token_start, token_end, tokens, container)."""
     sizes = stored(token_counts(docs, path=path), "token-counts")
-    capacities = budgets.select("budget_name", "capacity_tokens").where("capacity_tokens > 0").dropDuplicates(["budget_name"])
-    each = sizes.crossJoin(F.broadcast(capacities))  # a handful of budgets: one row of sizes for each of them
+    capacities = budgets.where("capacity_tokens > 0").groupBy("budget_name").agg(F.min("capacity_tokens").alias("c")).orderBy("budget_name").limit(MOST_BUDGETS + 1).collect()
+    if len(capacities) > MOST_BUDGETS:
+        raise ValueError(f"more than {MOST_BUDGETS} budgets")
+    names = [F.struct(F.lit(r["budget_name"]).cast("string").alias("budget_name"), F.lit(r["c"]).cast("int").alias("capacity_tokens")) for r in capacities]
+    each = sizes.select("*", F.explode(F.array(*names))).select("doc_id", "tokens", "col.*") if names else sizes.selectExpr("doc_id", "tokens", "'' as budget_name", "1 as capacity_tokens").limit(0)
     cut = F.expr("transform(sequence(0, cast((tokens - 1) div capacity_tokens as int)), k -> k)")
     items = (
         each.where("tokens > 0")

@@ -49,10 +49,10 @@ def cut(text: str, marks: list[int], lines: list[int], limit: int, overlap: int)
 
 
 def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
-    """Rows over the limit of their suffix, with it. The limits are one row for each suffix: broadcast."""
+    """Rows over the limit of their suffix, with it. The limits are one row for each suffix; Spark broadcasts them by their size."""
     per = limits.select(F.lower("extension").alias("_ext"), "max_chars", "overlap_chars").where("max_chars > 0").dropDuplicates(["_ext"])
     rows = chunks.select("chunk_id", "rel_path", "content", "start_line", "symbol_name").withColumn("_ext", suffix(F.col("rel_path")))
-    return rows.join(F.broadcast(per), "_ext").where(F.length("content") > F.col("max_chars"))
+    return rows.join(per, "_ext").where(F.length("content") > F.col("max_chars"))
 
 
 def boundary_lines(chunks: DataFrame, limits: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ CHECKED = "project_id string, rel_path string, lang_name string, fault string, l
 def checked(chunks: DataFrame, kinds: DataFrame) -> DataFrame:
     """Every file whose suffix has a grammar: fault is null for valid ones, else unexpected or truncated with its line."""
     per = kinds.where("has_grammar").select(F.lower("extension").alias("_ext"), "lang_name").where(F.col("_ext").isin(*TOKENS)).dropDuplicates(["_ext"])
-    known = chunks.withColumn("_ext", suffix(F.col("rel_path"))).join(F.broadcast(per.select("_ext")), "_ext", "left_semi")
-    texts = file_texts(known).where("text is not null").withColumn("_ext", suffix(F.col("rel_path"))).join(F.broadcast(per), "_ext")
+    known = chunks.withColumn("_ext", suffix(F.col("rel_path"))).join(per.select("_ext"), "_ext", "left_semi")
+    texts = file_texts(known).where("text is not null").withColumn("_ext", suffix(F.col("rel_path"))).join(per, "_ext")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
