@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from codelode.functions import fixed
 from codelode.functions.text import file_name, has_segment, imports_in, is_test_file, lines, suffix, symbol_on
@@ -24,31 +23,26 @@ def chunk_texts(texts: DataFrame, symbols: DataFrame, longest: int = fixed.CHUNK
     """(key, chunk_index, start_line, end_line, content, symbol_name) cut at symbols.
 
     Without symbols one chunk of the first PLAIN_LINES lines; else a header before the first symbol and one chunk for each,
-    up to the line before the next and at most `longest` lines.
+    up to the line before the next and at most `longest` lines. The symbols of a file meet its text once; all the rest
+    happens within the row.
     """
+    marks = symbols.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("line", "name"))).alias("_marks"))
     body = texts.where("text is not null").select(*KEY, lines(F.col("text")).alias("_lines"))
-    w = W.partitionBy(*KEY).orderBy("line", "name")
-    marks = symbols.select(*KEY, "name", "line").withColumn("_next", F.lead("line").over(w))
-    at_symbol = (
-        body.join(marks, KEY)
-        .withColumn("end_line", F.least(F.coalesce(F.col("_next") - 1, F.size("_lines")), F.col("line") + longest - 1, F.size("_lines")))
-        .select(*KEY, F.col("line").alias("start_line"), "end_line", F.col("name").alias("symbol_name"), "_lines", F.lit(1).alias("_part"))
-    )
-    first = symbols.groupBy(*KEY).agg(F.min("line").alias("_first"))
-    whole = body.join(first, KEY, "left").select(
-        *KEY,
-        F.lit(1).alias("start_line"),
-        F.when(F.col("_first").isNull(), F.least(F.size("_lines"), F.lit(fixed.PLAIN_LINES))).otherwise(F.col("_first") - 1).alias("end_line"),
-        F.lit(None).cast("string").alias("symbol_name"),
-        "_lines",
-        F.lit(0).alias("_part"),
-        "_first",
-    )
-    header = whole.where("_first is null or _first > 1").drop("_first")
-    rows = header.unionByName(at_symbol)
-    index = F.row_number().over(W.partitionBy(*KEY).orderBy("_part", "start_line", "symbol_name")) - 1
-    content = F.array_join(F.slice("_lines", F.col("start_line"), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1)), "\n")
-    return rows.withColumn("chunk_index", index).select(*KEY, "chunk_index", "start_line", "end_line", content.alias("content"), "symbol_name")
+    n, m = F.size("_lines"), F.col("_marks")
+    span = lambda first, last, name: F.struct(first.cast("int").alias("start_line"), last.cast("int").alias("end_line"), name.alias("symbol_name"))
+    none = F.lit(None).cast("string")
+
+    def at(mark: Column, k: Column) -> Column:
+        after = F.get(m, k + 1)["line"]
+        return span(mark["line"], F.least(F.coalesce(after - 1, n), mark["line"] + longest - 1, n), mark["name"])
+
+    plain = F.array(span(F.lit(1), F.least(n, F.lit(fixed.PLAIN_LINES)), none))
+    header = F.when(m[0]["line"] > 1, F.array(span(F.lit(1), m[0]["line"] - 1, none))).otherwise(F.slice(plain, 1, 0))
+    spans = F.when(m.isNull(), plain).otherwise(F.concat(header, F.transform(m, at)))
+    content = lambda s: F.array_join(F.slice("_lines", s["start_line"], F.greatest(F.lit(0), s["end_line"] - s["start_line"] + 1)), "\n")
+    whole = F.transform(spans, lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), content(s).alias("content"), s["symbol_name"].alias("symbol_name")))
+    rows = body.join(marks, KEY, "left").select(*KEY, F.posexplode(whole).alias("chunk_index", "_c"))
+    return rows.select(*KEY, "chunk_index", "_c.start_line", "_c.end_line", "_c.content", "_c.symbol_name")
 
 
 def extract_imports(texts: DataFrame) -> DataFrame:
