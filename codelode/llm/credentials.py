@@ -46,6 +46,7 @@ PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`]+)@[A-Za-z0-9\[{$<]")
 QUERY = re.compile(r"(?i)[?&](?:auth|auth_token|token|access_token|api_?key|key|secret|password|passwd|pwd|sig|signature|client_secret)=([^\s&\"'`#<>)]+)")
+FLAG = re.compile(r"(?i)(?<![\w-])--?(?P<name>[a-z][a-z0-9-]*)[ \t]+[\"'`]?(?P<v>[^\s\"'`,;()<>|&]{6,})")
 HEADER = re.compile(r"(?i)authorization\\?[\"']?\]?\s*[:,=]?\s*\\?[\"']?\s*(basic|bearer|token)\s+([A-Za-z0-9+/=._~\-]{8,})")
 NAME = r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)"
 #: name, closing quote or bracket, type annotation, operator, value
@@ -168,7 +169,7 @@ class Finder:
         found = []
         while True:
             m = JOIN.match(text, at)
-            if m is None or (m.start("v") - at) < 2 or not re.fullmatch(r"[A-Za-z0-9+/=_.\-]+", m["v"] or ""):
+            if m is None or not re.fullmatch(r"[A-Za-z0-9+/=_.\-]+", m["v"] or ""):
                 return found
             between = text[at : m.start("q")]
             if "+" not in between and "." not in between and "\n" not in between and between.strip("rbuf \t"):
@@ -256,6 +257,10 @@ class Finder:
             value = m[2]
             if not PLACEHOLDER.fullmatch(value) and not REFERENCE.search(value) and (self.seg.residual(value) >= RESIDUAL or HASHED.fullmatch(value)) and not re.fullmatch(r"[a-z_]+", value):
                 add([m.span(2)])
+        for m in FLAG.finditer(text, a, b):
+            kind = context(m["name"])
+            if kind and not m["v"].startswith("-") and self.accept(kind, m["v"]):
+                add([m.span("v")])
         at = a
         while at < b:
             m = ASSIGN.search(text, at, min(len(text), b + 400))
