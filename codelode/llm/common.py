@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelode.sources.tables import file_texts  # noqa: F401  (the operators take it from here)
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
 
@@ -42,42 +44,6 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
 
 
-def file_texts(chunks: DataFrame, *, where: Column | None = None) -> DataFrame:
-    """(project_id, rel_path, text): the contents in order of chunk_index, joined by one line feed.
-
-    Repeated rows of a chunk_id count once (latest ingested_at); a null content adds nothing, and a file
-    of which every content is null has a null text. The unit of a task is one file, whatever its size.
-    """
-    part = chunks.select("project_id", "rel_path", "chunk_id", "chunk_index", "ingested_at", "content")
-    if where is not None:
-        part = part.where(where)
-    row = F.struct("chunk_index", "chunk_id", F.struct("ingested_at", "content").alias("v"))
-    rows = F.array_sort(F.collect_list(row))
-    latest = F.aggregate(
-        F.col("rows"),
-        F.slice("rows", 1, 0),  # an empty array of the same type
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["chunk_id"] == x["chunk_id"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x)),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return (
-        part.groupBy("project_id", "rel_path")
-        .agg(rows.alias("rows"))
-        .select("project_id", "rel_path", "rows", F.size("rows").alias("n"))
-        .withColumn("ids", F.array_distinct(F.transform("rows", lambda x: x["chunk_id"])))
-        .withColumn("rows", F.when(F.size("ids") == F.col("n"), F.col("rows")).otherwise(latest))
-        .select(
-            "project_id",
-            "rel_path",
-            F.when(
-                F.exists("rows", lambda x: x["v"]["content"].isNotNull()),
-                F.array_join(F.transform("rows", lambda x: x["v"]["content"]), "\n"),
-            ).alias("text"),
-        )
-    )
-
-
 BUCKET_BITS = 32_768  # bits of one bitmap of Spark's bitmap functions
 FILTER_BITS = 1 << 23  # one megabyte altogether, whatever the input
 
