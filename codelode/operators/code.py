@@ -11,9 +11,15 @@ from codelode.functions.text import file_name, has_segment, imports_in, is_test_
 KEY = ["project_id", "rel_path"]
 
 
-def extract_symbols(texts: DataFrame) -> DataFrame:
-    """(key, name, type, line) of every line with a definition; narrow, no join with the patterns."""
+def extract_symbols(texts: DataFrame, extractor=None) -> DataFrame:
+    """(key, name, type, line) of every line with a definition; narrow, no join with the patterns.
+
+    extractor (X02): an object with suffixes and a method symbols(texts) of this result; it serves its suffixes instead.
+    """
     ext = F.lower(suffix(F.col("rel_path")))
+    if extractor is not None:
+        theirs = ext.isin(*extractor.suffixes)
+        return extract_symbols(texts.where(~theirs)).unionByName(extractor.symbols(texts.where(theirs)))
     each = texts.where(ext.isin(*fixed.SYMBOL_PATTERNS)).select(*KEY, ext.alias("_ext"), F.posexplode(lines(F.col("text"))).alias("_at", "_line"))
     found = each.withColumn("_s", symbol_on(F.col("_line"), F.col("_ext"))).where("_s is not null")
     return found.select(*KEY, F.substring_index("_s", " ", -1).alias("name"), F.substring_index("_s", " ", 1).alias("type"), (F.col("_at") + 1).alias("line"))

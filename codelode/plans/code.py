@@ -31,7 +31,7 @@ def has_any(names) -> str:
 
 
 def texts(spark, folder):
-    return file_texts(valid_chunks(spark, folder))
+    return file_texts(table(spark, folder, "chunks"))
 
 
 IS_TEST = f"({has_any(fixed.TEST_DIRS)} or contains(lower({NAME}), 'test_') or contains(lower(rel_path), '.test.') or contains(lower(rel_path), '.spec.') or contains(lower(rel_path), '_test.'))"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codelode.operators import analytics as A
 from codelode.operators import code as C
 from codelode.operators import manifests as N
-from codelode.sources.tables import file_texts, valid_chunks, valid_files, valid_imports, valid_symbols
+from codelode.sources.tables import file_texts, table, valid_chunks, valid_files, valid_imports, valid_symbols
 
 
 def _listed(rows: DataFrame, column: str, name: str, order: str | None = None) -> DataFrame:
@@ -19,7 +19,7 @@ def _listed(rows: DataFrame, column: str, name: str, order: str | None = None) -
 
 def project_rows(spark: SparkSession, folder: str) -> DataFrame:
     files, chunks, symbols, imports = (f(spark, folder) for f in (valid_files, valid_chunks, valid_symbols, valid_imports))
-    texts = file_texts(chunks)
+    texts = file_texts(table(spark, folder, "chunks"))
     measures = A.file_measures(files, chunks, symbols)
     most = measures.groupBy("project_id").agg(F.max("symbols").alias("most_symbols"))
     arch = A.architectures(files).groupBy("project_id").agg(F.max_by("pattern", F.struct("score", "pattern")).alias("pattern"))

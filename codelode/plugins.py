@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import json
 import re
@@ -133,6 +134,30 @@ def rerank(model: LanguageModel, question: str, chunks: list[dict], most: int =
     return valid + [i for i in range(len(chunks)) if i not in set(valid)]
 
 
+class PythonSymbols:
+    """Symbols of Python files by their syntax tree; a file that doesn't parse has none."""
+
+    suffixes = (".py",)
+
+    def symbols(self, texts: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                for project, path, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    try:
+                        tree = ast.parse(text or "")
+                    except (SyntaxError, ValueError, RecursionError):
+                        continue
+                    for node in ast.walk(tree):
+                        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                            rows.append((project, path, node.name, "class" if isinstance(node, ast.ClassDef) else "function", node.lineno))
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                kinds = [pa.string()] * 4 + [pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["project_id", "rel_path", "name", "type", "line"])
+
+        return texts.select("project_id", "rel_path", "text").mapInArrow(run, "project_id string, rel_path string, name string, type string, line int")
+
+
 FILE_LIMIT, FOLDER_LIMIT = 8, 3
 
 

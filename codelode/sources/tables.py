@@ -32,9 +32,13 @@ def valid_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_texts(chunks: DataFrame) -> DataFrame:
-    """(project_id, rel_path, text), contents in order joined by line feeds; null where every content is."""
-    rows = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "content")))
-    text = F.array_join(F.transform("rows", lambda x: x["content"]), "\n")
+    """(project_id, rel_path, text), contents in order joined by line feeds; null where every content is.
+
+    Rows of a chunk_id may be repeated: the latest counts. One shuffle of the contents does both; a task holds one file's rows.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "ingested_at", "content")))
+    once = F.filter("rows", lambda x, i: ~F.get("rows", i + 1)["chunk_id"].eqNullSafe(x["chunk_id"]) | x["chunk_id"].isNull())
+    text = F.array_join(F.transform(once, lambda x: x["content"]), "\n")
     return (
         chunks.groupBy("project_id", "rel_path")
         .agg(rows.alias("rows"), F.count("content").alias("n"))

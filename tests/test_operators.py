@@ -59,6 +59,21 @@ def test_symbols(base):
     assert "README.md" not in got and "empty.py" not in got
 
 
+def test_symbols_by_syntax_tree(base):
+    from codelode.plugins import PythonSymbols
+
+    got = {(r["rel_path"], r["name"], r["line"]) for r in C.extract_symbols(base[0], PythonSymbols()).collect()}
+    assert {("app/store.py", "save", 8), ("svc/main.go", "Start", 11)} <= got
+
+
+def test_repeated_and_late_chunks(spark):
+    from codelode.sources.tables import file_texts
+
+    rows = [("p", "f", 1, 11, "b", 1), ("p", "f", 0, 10, "old", 1), ("p", "f", 0, 10, "a", 2), ("p", "f", 1, 11, "b", 1), ("p", "g", 0, 12, None, 1), ("p", "h", 0, 13, "x", None), ("p", "h", 0, 13, "y", 5), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "project_id string, rel_path string, chunk_index int, chunk_id bigint, content string, ingested_at int")
+    assert {r["rel_path"]: r["text"] for r in file_texts(df).collect()} == {"f": "a\nb", "g": None, "h": "y", None: None}
+
+
 def test_chunks(base):
     got = {}
     for r in C.chunk_texts(*base).collect():
