@@ -75,11 +75,22 @@ def symbol_on(line: Column, ext: Column) -> Column:
         found = []
         for pattern, kind in patterns:
             name = F.regexp_extract(line, pattern.replace("(?P<", "(?<"), re.compile(pattern).groupindex["name"])
-            found.append(F.nullif(F.concat(F.lit(f"{kind} "), name), F.lit(f"{kind} ")))
+            found.append(F.when(F.contains(line, F.lit(needed_literal(pattern))), F.nullif(F.concat(F.lit(f"{kind} "), name), F.lit(f"{kind} "))))
         out = F.when(ext.isin(*keys), F.coalesce(*found)).otherwise(out)
     return out
 
 
+def needed_literal(pattern: str) -> str:
+    """The longest word outside groups and classes of a pattern, which every match has; a bracket if there is no word.
+
+    A plain search for it spares most lines the pattern.
+    """
+    flat = re.sub(r"\[[^\]]*\]", " ", pattern)
+    flat = re.sub(r"\((?:[^()\\]|\\.)*\)\??", " ", flat)
+    words = re.findall(r"[A-Za-z]{2,}", re.sub(r"\\[A-Za-z]", " ", flat))
+    return max(words, key=len) if words else "("
+
+
 def _shared_patterns():
     """Pattern lists with all suffixes that have just these."""
     by: dict[tuple, list[str]] = {}

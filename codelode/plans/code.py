@@ -544,6 +544,55 @@ def project_map(spark, folder):
     return rows.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= fixed.MAP_FILES).select("project_id", "rank", line.alias("line"))
 
 
+@query(
+    f"with {FILES}, {SYMBOLS}, e as (select project_id, ext, count(*) as files from files_v group by project_id, ext), s as (select project_id, count(*) as symbols from symbols_v group by project_id) "
+    "select project_id, ext, files, coalesce(symbols, 0) as symbols from e left join s using (project_id) qualify row_number() over (partition by project_id order by files desc, ext) <= 8"
+)
+def synthesis_counts(spark, folder):
+    """The eight most frequent suffixes and the number of symbols, as a project's summary is asked for."""
+    e = valid_files(spark, folder).groupBy("project_id", "ext").agg(F.count("*").alias("files"))
+    n = valid_symbols(spark, folder).groupBy("project_id").agg(F.count("*").alias("symbols"))
+    rank = F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("files"), "ext"))
+    return e.withColumn("r", rank).where("r <= 8").drop("r").join(n, "project_id", "left").withColumn("symbols", F.coalesce("symbols", F.lit(0)))
+
+
+@query(
+    f"with {MEASURES}, c as (select project_id, rel_path, row_number() over (partition by project_id order by symbols desc, rel_path) as o from measures qualify o <= 5), "
+    "b as (select project_id, rel_path, 0 as p, cast(o as varchar) as k from c union all select project_id, rel_path, 1, rel_path from measures m anti join c using (project_id, rel_path)) "
+    "select project_id, rel_path, row_number() over (partition by project_id order by p, k, rel_path) as position from b"
+)
+def ranking_completed(spark, folder):
+    """The files a ranking chose, then all others by path."""
+    m = measures(spark, folder)
+    chosen = A.top_files(m, "symbols").select("project_id", "rel_path", F.lit(0).alias("p"), F.col("rank").cast("string").alias("k"))
+    rest = m.join(chosen, ["project_id", "rel_path"], "left_anti").select("project_id", "rel_path", F.lit(1).alias("p"), F.col("rel_path").alias("k"))
+    position = F.row_number().over(W.partitionBy("project_id").orderBy("p", "k", "rel_path"))
+    return chosen.unionByName(rest).select("project_id", "rel_path", position.cast("bigint").alias("position"))
+
+
+@query(
+    f"with {TEXTS}, n as (select *, row_number() over (partition by project_id order by rel_path) as o, least(length(text), 8000) as size from texts where coalesce(text, '') <> ''), "
+    "u as (select *, coalesce(sum(size) over (partition by project_id order by o rows between unbounded preceding and 1 preceding), 0) as before from n) "
+    "select project_id, rel_path, cast(least(size, 24000 - before) as bigint) as chars from u where before < 24000"
+)
+def files_in_budget(spark, folder):
+    """W06 on raw texts: whole files in order of path, 8,000 characters of each at most, until 24,000 are used."""
+    rows = texts(spark, folder).where(F.coalesce("text", F.lit("")) != "").select("project_id", "rel_path", F.least(F.length("text"), F.lit(fixed.FILE_CHARS)).alias("size"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy("project_id").orderBy("rel_path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("before", before).where(F.col("before") < fixed.CONTEXT_CHARS).select("project_id", "rel_path", F.least(F.col("size"), fixed.CONTEXT_CHARS - F.col("before")).cast("bigint").alias("chars"))
+
+
+@query(
+    f"with {IMPORTS}, d as (select distinct project_id, target_path from imports_v where target_path is not null), {FILES} "
+    "select d.project_id, d.target_path, f.rel_path is not null as known from d left join files_v f on d.project_id = f.project_id and d.target_path = f.rel_path"
+)
+def targets_validated(spark, folder):
+    """Which named files a project really has."""
+    d = valid_imports(spark, folder).where("target_path is not null").select("project_id", "target_path").distinct()
+    have = valid_files(spark, folder).select("project_id", F.col("rel_path").alias("target_path"), F.lit(True).alias("known"))
+    return d.join(have, ["project_id", "target_path"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 # ---------------------------------------------------------------- catalogue of projects
 
 

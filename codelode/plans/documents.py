@@ -255,3 +255,21 @@ def fenced_blocks(spark, folder):
     """What stands in the first fenced block of a text."""
     rows = documents(spark, folder).where(F.contains("text", F.lit("```")))
     return rows.select("doc_id", F.trim(F.regexp_extract("text", r"(?s)```(?:json|sh|py)?\s*\n(.*?)\n?```", 1)).alias("block"))
+
+
+@query(
+    "with p as (select doc_id, project_id, length(text) as n from documents where text is not null) "
+    "select project_id, count(*) as docs, cast(sum(n) as bigint) as chars, cast(max(n) as bigint) as longest, count(*) filter (n = 0) as empty from p group by project_id"
+)
+def document_totals(spark, folder):
+    n = F.length("text")
+    rows = documents(spark, folder).where("text is not null").groupBy("project_id")
+    return rows.agg(F.count("*").alias("docs"), F.sum(n).alias("chars"), F.max(n).cast("bigint").alias("longest"), F.count_if(n == 0).alias("empty"))
+
+
+@query(f"with {TOP_WORDS} , n as (select kind, keyword, count(*) as docs from (select doc_id, keyword from top) join (select doc_id, kind from documents) using (doc_id) group by kind, keyword) select kind, keyword, docs, row_number() over (partition by kind order by docs desc, keyword) as rank from n qualify rank <= 20")
+def keywords_by_kind(spark, folder):
+    docs = documents(spark, folder)
+    words = K.top_keywords(docs, ["doc_id", "kind"], "text").groupBy("kind", "keyword").agg(F.count("*").alias("docs"))
+    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("docs"), "keyword"))
+    return words.withColumn("rank", rank.cast("bigint")).where("rank <= 20")

@@ -68,3 +68,10 @@ def test_confidence(spark):
     rows = [(1, 1, 0.0, "high"), (0, 1, 0.2, "high"), (0, 3, 0.08, "high"), (0, 1, 0.05, "medium"), (0, 2, 0.0, "medium"), (0, 1, 0.01, "low"), (1, 0, 0.0, "low")]
     df = spark.createDataFrame(rows, "h int, r int, q double, want string")
     assert all(x["got"] == x["want"] for x in df.select("want", T.confidence(F.col("h"), F.col("r"), F.col("q")).alias("got")).collect())
+
+
+def test_every_symbol_pattern_needs_its_literal():
+    got = {p: T.needed_literal(p) for ps in T.fixed.SYMBOL_PATTERNS.values() for p, _ in ps}
+    assert got[r"const (?P<name>\w+)\s*=\s*(async\s*)?\("] == "const" and got[r"^(async\s+)?fn\s+(?P<name>\w+)\s*[(<]"] == "fn"
+    assert got[r"^[\w\s\*]+\s+(?P<name>\w+)\s*\([^;]"] == "(" and got[r"\brecord\s+(?P<name>\w+)\s*[\s({]"] == "record"
+    assert set(got.values()) == {"def", "async", "class", "function", "const", "interface", "type", "func", "struct", "(", "enum", "record", "delegate", "pub", "fn", "trait", "impl", "module"}
