@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Letters of other scripts with the shape of a Latin letter (fixed values, after Unicode's confusables data).
 SAME_SHAPE = {
     "Cyrillic": (
@@ -179,6 +181,7 @@ def same_looking(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
         return _run(batches, ["id", "form", "same"], _digests)
 
     rows = docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, "id bigint, form binary, same binary").where("form is not null").distinct()
+    rows = stored(rows, "forms")  # read four times below
     classes = rows.groupBy("form", "same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     many = classes.groupBy("form").agg(F.count("*").alias("kinds")).where("kinds > 1").select("form")
     classes = classes.join(many, "form", "left_semi")
