@@ -21,7 +21,8 @@ def extract_symbols(texts: DataFrame, extractor=None) -> DataFrame:
         theirs = ext.isin(*extractor.suffixes)
         return extract_symbols(texts.where(~theirs)).unionByName(extractor.symbols(texts.where(theirs)))
     each = texts.where(ext.isin(*fixed.SYMBOL_PATTERNS)).select(*KEY, ext.alias("_ext"), F.posexplode(lines(F.col("text"))).alias("_at", "_line"))
-    found = each.withColumn("_s", symbol_on(F.col("_line"), F.col("_ext"))).where("_s is not null")
+    once = F.explode(F.array_compact(F.array(symbol_on(F.col("_line"), F.col("_ext")))))  # a filter would have the patterns run twice
+    found = each.select(*KEY, "_at", once.alias("_s"))
     return found.select(*KEY, F.substring_index("_s", " ", -1).alias("name"), F.substring_index("_s", " ", 1).alias("type"), (F.col("_at") + 1).alias("line"))
 
 
