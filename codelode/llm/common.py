@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -18,12 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}  # folders of sessions without the setting, by application
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below spark.checkpoint.dir; a local one only where that setting is absent (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="codelode-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        key = spark.sparkContext.applicationId
+        if key not in _LOCAL:
+            at = tempfile.mkdtemp(prefix="codelode-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+            _LOCAL[key] = f"file://{at}"
+        base = _LOCAL[key]
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 

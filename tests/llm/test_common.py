@@ -33,3 +33,11 @@ def test_nothing_outside_imports_this_subpackage():
     for f in root.rglob("*.py"):
         if "llm" not in f.relative_to(root).parts:
             assert not re.search(r"codelode\.llm|from \.llm|from \.\.llm", f.read_text()), f
+
+
+def test_a_session_without_a_shared_folder_gets_one_of_its_own():
+    from types import SimpleNamespace
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(applicationId="none"))
+    a, b = common.shared_dir(bare, "x"), common.shared_dir(bare, "x")
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0] and a.startswith("file://")
