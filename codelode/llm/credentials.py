@@ -1,8 +1,10 @@
 """Problem 6: credential values in source code, found line by line and masked in place.
 
-A multi-pattern automaton finds the words near which a credential can stand; only their surroundings are looked at. The
-literal there is segmented by Viterbi into words of the corpus's own dictionary; what no word explains is its residual.
-A long residual in an assignment, header, address or comment that names a credential is a secret. Values of the known
+A multi-pattern automaton finds the words near which a credential can stand; the rules that need such a word look at
+their surroundings only. The literal there is segmented by Viterbi into words of the corpus's own dictionary; what no word
+explains is its residual. A long residual in an assignment, header, address or comment that names a credential is a secret.
+Literals that are assigned or passed under any other name, on whatever line, count if their residual is very long and they
+mix cases and digits. Values of the known
 vendor formats and private keys stand for themselves; a value made of words counts where a password is assigned; values
 in a hash's format count only where a secret is named. Placeholders, references, sentences, checksums, ids and public
 keys don't count.
@@ -26,10 +28,11 @@ from pyspark.sql import functions as F
 
 WORDS_KEPT = 60_000  # dictionary entries that are broadcast (under 1 MB); the most frequent ones
 RESIDUAL = 8  # unexplained characters that make a literal a secret
+UNNAMED_RESIDUAL = 16  # the same where nothing names a credential
 
-#: Needles of the automaton, lower case (fixed values).
+#: Needles of the automaton, lower case (fixed values). Every word that a rule below accepts holds one of them.
 NEEDLES = (
-    "passw", "pwd", "passphrase", "secret", "token", "key", "auth", "bearer", "credential", "login", "://", "-----begin",
+    "pass", "kennwort", "pwd", "sig=", "signature=", "-u ", "-u\t", "-u=", "-user", "connect", "logon", "signin", "sign_in", "log_in", "secret", "token", "key", "auth", "bearer", "credential", "login", "://", "-----begin",
     "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "rk_live_", "xox", "npm_", "pypi-", "akia", "asia",
     "aiza", "sg.", "eyj", "hf_", "shpat_", "dop_v1_",
 )
@@ -48,6 +51,15 @@ ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`
 QUERY = re.compile(r"(?i)[?&](?:auth|auth_token|token|access_token|api_?key|key|secret|password|passwd|pwd|sig|signature|client_secret)=([^\s&\"'`#<>)]+)")
 FLAG = re.compile(r"(?i)(?<![\w-])--?(?P<name>[a-z][a-z0-9-]*)[ \t]+[\"'`]?(?P<v>[^\s\"'`,;()<>|&]{6,})")
 HEADER = re.compile(r"(?i)authorization\\?[\"']?\]?\s*[:,=]?\s*\\?[\"']?\s*(basic|bearer|token)\s+([A-Za-z0-9+/=._~\-]{8,})")
+#: a call that opens a session: user and password as its first literals
+SESSION = re.compile(r"(?i)(?:connect|login|log_in|logon|signin|sign_in|authenticate)\w*\(\s*(?P<q>[\"'`])[^\"'`\s]*(?P=q)\s*,\s*(?P<r>[\"'`])(?P<v>[^\"'`\s]+)(?P=r)")
+#: user and password behind curl's -u, and as a pair in prose
+USER_FLAG = re.compile(r"(?<![\w-])(?:-u|--user|--proxy-user)[ \t=]+[\"'`]?[^\s:\"'`/]+:(?P<v>[^\s\"'`]+)")
+PAIR = re.compile(r"(?i)\b(?:login|credentials?)[ \t]*(?:is|was|are|:|=)?[ \t]+[\"'`]?[\w.@\-]+[ \t]*/[ \t]*(?P<v>[^\s\"'`,;()]{6,})")
+#: a long value of one piece, quoted or behind an operator
+PIECE_VALUE = re.compile(r"(?<=[\"'`=: (])(?<!//)[A-Za-z0-9+/_.~\-]{20,}+=*")
+#: what stands before it where it is assigned or passed
+BEFORE = re.compile(r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)\\?[\"'`]?\]?[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\], .|]*?[ \t]*=|:=|=>|=|:|\()[ \t]*[rbu]{0,2}(?P<q>\\?[\"'`]?)$")
 NAME = r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)"
 #: name, closing quote or bracket, type annotation, operator, value
 ASSIGN = re.compile(
@@ -65,7 +77,7 @@ REFERENCE = re.compile(r"[<>{}$%]|\$\(|\.\.\.|^process\.env|^os\.|^env\b|getenv|
 UUID = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}")
 HASHED = re.compile(r"(?i)(?:sha\d+|md5|blake2b?)[-:$=].+|\$2[aby]\$.*|ssh-[a-z0-9]+.*|ecdsa-.*|[0-9a-f]{7,}")
 HASH_PREFIX = re.compile(r"(?i)(?:sha\d+|md5|blake2b?)[-:$]|ssh-|ecdsa-")
-PASSWORD_WORDS = {"password", "passwd", "pwd", "passphrase", "passcode", "pass", "passwort"}
+PASSWORD_WORDS = {"password", "passwd", "pwd", "passphrase", "passcode", "pass", "passwort", "kennwort"}
 SECRET_WORDS = {"secret", "token", "apikey", "authtoken", "accesstoken", "credential", "credentials", "auth", "bearer"}
 KEY_BEFORE = {"api", "access", "signing", "secret", "private", "auth", "encryption", "hmac", "master", "account", "storage", "deploy", "service", "client", "legacy", "shared", "session", "cookie", "crypto", "webhook"}
 OTHER_WORDS = {
@@ -73,6 +85,8 @@ OTHER_WORDS = {
     "expires", "ttl", "id", "ids", "regex", "pattern", "prompt", "message", "msg", "error", "title", "text", "description", "env", "var", "digest", "hash",
     "checksum", "integrity", "commit", "uuid", "host", "fingerprint", "kind", "format", "min", "max", "provider", "endpoint", "placeholder", "rule", "rules",
 }
+#: words of names whose long values are no credentials, whatever they look like
+PUBLIC_WORDS = {"public", "digest", "hash", "checksum", "integrity", "commit", "sha", "etag", "uuid", "id", "ids", "fingerprint", "path", "url", "uri", "file", "data", "image", "blob", "mappings", "regex", "pattern"}
 PIECE = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -185,8 +199,6 @@ class Finder:
         if len(lower) != len(text):
             lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         hits = list(self.automaton.iter(lower))
-        if not hits:
-            return []
         found: dict[int, list[tuple[int, int]]] = {}
         taken: list[tuple[int, int]] = []
 
@@ -230,8 +242,23 @@ class Finder:
                 windows = [[begin_line, stop]]
             for a, b in windows:
                 self._window(text, a, b, add, free)
+        self._unnamed(text, add, free)
         return [found[k] for k in sorted(found)]
 
+    def _unnamed(self, text: str, add, free) -> None:
+        """Literals without a word for them: assigned or passed, of mixed cases and digits, no hash, and hardly explained."""
+        for m in PIECE_VALUE.finditer(text):
+            value = m[0]
+            if HASHED.fullmatch(value) or not (re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and re.search(r"\d", value)):
+                continue
+            before = BEFORE.search(text[max(text.rfind("\n", 0, m.start()) + 1, m.start() - 200) : m.start()])
+            if before is None or PUBLIC_WORDS.intersection(name_words(before["name"])) or not text.startswith(before["q"], m.end()):
+                continue
+            if not before["q"] and m.end() < len(text) and not text[m.end()].isspace():
+                continue
+            if self.accept("key", value) and self.seg.residual(value) >= UNNAMED_RESIDUAL:
+                add([m.span(), *(self._parts(text, m.end() + len(before["q"])) if before["q"] else [])])
+
     def _window(self, text: str, a: int, b: int, add, free) -> None:
         for m in VENDOR.finditer(text, a, b):
             value = m[0]
@@ -257,6 +284,13 @@ class Finder:
             value = m[2]
             if not PLACEHOLDER.fullmatch(value) and not REFERENCE.search(value) and (self.seg.residual(value) >= RESIDUAL or HASHED.fullmatch(value)) and not re.fullmatch(r"[a-z_]+", value):
                 add([m.span(2)])
+        for m in SESSION.finditer(text, a, b):
+            if self.accept("password", m["v"]):
+                add([m.span("v")])
+        for pattern in (USER_FLAG, PAIR):
+            for m in pattern.finditer(text, a, b):
+                if self.accept("password", m["v"]):
+                    add([m.span("v")])
         for m in FLAG.finditer(text, a, b):
             kind = context(m["name"])
             if kind and not m["v"].startswith("-") and self.accept(kind, m["v"]):
