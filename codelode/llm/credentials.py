@@ -47,12 +47,16 @@ VENDOR = re.compile(
 )
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`]+)@[A-Za-z0-9\[{$<]")
+#: the lines of a key whose end is missing: nothing but base64, broken by line ends, quotes and signs that join literals
+KEY_LINES = re.compile(r"(?:(?:\\[nr]|[\s\"'`+,.\\|>])*+(?:(?:Proc-Type|DEK-Info): ?[^\s\\\"'`]++|[A-Za-z0-9+/]{12,}+=*+(?=\\[nr]|[\s\"'`]|$)))*+(?:(?:\\[nr]|[\s\"'`+,.\\|>])*+[A-Za-z0-9+/]{1,11}={1,2})?")
+RUN = re.compile(r"[A-Za-z0-9_.+\-]")
+RUN_END = re.compile(r"[\s\"'`]|$")
+ADDRESS = re.compile(r"(?<![A-Za-z0-9+.\-])[0-9+.\-]*+[A-Za-z][A-Za-z0-9+.\-]*+://[^\s/:@\"'`<>{}$]*:([^\s/@\"'`]+)@[A-Za-z0-9\[{$<]")
 QUERY = re.compile(r"(?i)[?&](?:auth|auth_token|token|access_token|api_?key|key|secret|password|passwd|pwd|sig|signature|client_secret)=([^\s&\"'`#<>)]+)")
 FLAG = re.compile(r"(?i)(?<![\w-])--?(?P<name>[a-z][a-z0-9-]*)[ \t]+[\"'`]?(?P<v>[^\s\"'`,;()<>|&]{6,})")
 HEADER = re.compile(r"(?i)authorization\\?[\"']?\]?\s*[:,=]?\s*\\?[\"']?\s*(basic|bearer|token)\s+([A-Za-z0-9+/=._~\-]{8,})")
 #: a call that opens a session: user and password as its first literals
-SESSION = re.compile(r"(?i)(?:connect|login|log_in|logon|signin|sign_in|authenticate)\w*\(\s*(?P<q>[\"'`])[^\"'`\s]*(?P=q)\s*,\s*(?P<r>[\"'`])(?P<v>[^\"'`\s]+)(?P=r)")
+SESSION = re.compile(r"(?i)(?:connect|login|log_in|logon|signin|sign_in|authenticate)\w{0,40}\(\s*(?P<q>[\"'`])[^\"'`\s]*(?P=q)\s*,\s*(?P<r>[\"'`])(?P<v>[^\"'`\s]+)(?P=r)")
 #: user and password behind curl's -u, and as a pair in prose
 USER_FLAG = re.compile(r"(?<![\w-])(?:-u|--user|--proxy-user)[ \t=]+[\"'`]?[^\s:\"'`/]+:(?P<v>[^\s\"'`]+)")
 PAIR = re.compile(r"(?i)\b(?:login|credentials?)[ \t]*(?:is|was|are|:|=)?[ \t]+[\"'`]?[\w.@\-]+[ \t]*/[ \t]*(?P<v>[^\s\"'`,;()]{6,})")
@@ -60,7 +64,7 @@ PAIR = re.compile(r"(?i)\b(?:login|credentials?)[ \t]*(?:is|was|are|:|=)?[ \t]+[
 PIECE_VALUE = re.compile(r"(?<=[\"'`=: (])(?<!//)[A-Za-z0-9+/_.~\-]{20,}+=*")
 #: what stands before it where it is assigned or passed
 BEFORE = re.compile(r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)\\?[\"'`]?\]?[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\], .|]*?[ \t]*=|:=|=>|=|:|\()[ \t]*[rbu]{0,2}(?P<q>\\?[\"'`]?)$")
-NAME = r"(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)"
+NAME = r"(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)"
 #: name, closing quote or bracket, type annotation, operator, value
 ASSIGN = re.compile(
     NAME + r"\\?[\"'`]?\]?[ \t]*(?::[ \t]*[A-Za-z][\w<>\[\], .|]*?[ \t]*=(?!=)|:=|=>|=(?![=>])|:(?!:)|,)[ \t]*"
@@ -214,26 +218,31 @@ class Finder:
         if "-----begin" in needles:
             for m in PEM.finditer(text):
                 end = PEM_END.search(text, m.end())
-                stop = end.end() if end else min(len(text), m.end() + 4000)
+                stop = end.end() if end else KEY_LINES.match(text, m.end()).end()
                 body = [(b.start(), b.end()) for b in re.finditer(r"(?<!\\)[A-Za-z0-9+/=]{12,}|(?<=\\n)[A-Za-z0-9+/=]{12,}", text[: end.start() if end else stop][m.end() :])]
                 if body or not end:
                     begin = m.end()
                     spans = [(begin + a, begin + b) for a, b in body] or [(m.start(), m.end())]
                     found[m.start()] = spans
                     taken.append((m.start(), stop))
-        lines_done = set()
-        for end, word in hits:
-            begin_line = text.rfind("\n", 0, end) + 1
-            if begin_line in lines_done:
+        stop = -1
+        for end, _ in hits:
+            if end < stop:
                 continue
-            lines_done.add(begin_line)
+            begin_line = text.rfind("\n", 0, end) + 1
             stop = text.find("\n", end)
             stop = len(text) if stop < 0 else stop
             if stop - begin_line > 4000:  # a very long line: look at the surroundings of each needle in it
                 spots = [e for e, _ in hits if begin_line <= e < stop]
                 windows: list[list[int]] = []
                 for e in spots:
-                    a, b = max(begin_line, e - 100), min(stop, e + 300)
+                    if windows and e + 300 <= windows[-1][1]:
+                        continue
+                    # a match may start near a needle; a value that begins there is seen to its end
+                    a, b = max(begin_line, e - 100), min(stop, RUN_END.search(text, min(stop, e + 300)).start())
+                    least = windows[-1][1] if windows else begin_line
+                    while a > least and RUN.match(text[a - 1]):
+                        a -= 1
                     if windows and a <= windows[-1][1]:
                         windows[-1][1] = b
                     else:
@@ -304,6 +313,7 @@ class Finder:
             kind = context(m["name"])
             if not kind:
                 continue
+            m = ASSIGN.match(text, m.start()) or m  # the whole value, however long
             if m["quoted"] is not None:
                 value, span = m["quoted"], m.span("quoted")
                 if m["prefix"] and "f" in m["prefix"] and "{" in value:
