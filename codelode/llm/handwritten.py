@@ -47,7 +47,8 @@ LOCK_FILE = re.compile(
 )
 MINIFIED_PATH = re.compile(r"[.\-]min\.(?:js|mjs|cjs|css|ts|html)$|\.(?:js|css|ts)\.map$|(?:^|/)bundle\.js(?:\.json)?$", re.I)
 TABLE_NAME = re.compile(r"(?m)^[ \t]*(?:(?:export|static|final|public|private|var|const|let|int|final|int\[\])[ \t]+)*(?:int\[\][ \t]+)?_?(?:LR_|lr_|lr(?=[A-Z])|yy|YY_?|_?lr_)(?:ACTION|GOTO|action|goto|Action|Goto|table|productions|defact|check|pact|act|exca)\w*[ \t]*(?::[^=\n]*)?:?=")
-SOURCE_MAP = re.compile(r'^\s*\{\s*"version"\s*:\s*\d+\s*,.{0,4000}?"mappings"\s*:', re.S)
+JSON_PIECE = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]]', re.S)
+MAP_VALUE = {'"version"': re.compile(r"\s*:\s*\d"), '"mappings"': re.compile(r'\s*:\s*"'), '"sections"': re.compile(r"\s*:\s*\[")}
 LOCK_TEXT = re.compile(r'^\s*\{\s*(?:"name"[^{}]*?)?"lockfileVersion"\s*:|^# THIS IS AN AUTOGENERATED|^lockfileVersion:', re.S)
 SCRIPTS = (".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".css", ".html")
 CODE = (".py", ".js", ".mjs", ".cjs", ".jsx", ".ts", ".tsx", ".go", ".java", ".c", ".h", ".cpp", ".cs", ".rb", ".php", ".rs", ".swift", ".kt", ".scala")
@@ -57,6 +58,24 @@ NEUTRAL_LINE = re.compile(r"\s*(?:$|import\b|from\b|package\b|\"[\w./\-]+\"$|usi
 NUMBERED = re.compile(r"(?m)^[ \t]*(?:export[ \t]+)?(?:public[ \t]+|static[ \t]+|async[ \t]+)*(?:def|function|func(?:[ \t]*\([^)]*\))?|[\w<>\[\]]+)?[ \t]*\b([A-Za-z_]+?)_?(\d+)[ \t]*\([^\n]*[{:]?[ \t]*\r?$")
 
 
+def source_map(text: str) -> bool:
+    """Whether the text is a JSON object with a version and mappings, or sections that have them, wherever these keys stand."""
+    if not text.lstrip().startswith("{") or '"mappings"' not in text or '"version"' not in text:
+        return False
+    depth, keys = 0, set()
+    for m in JSON_PIECE.finditer(text):
+        piece = m[0]
+        if piece in "{[":
+            depth += 1
+        elif piece in "}]":
+            depth -= 1
+        elif depth == 1 and piece in MAP_VALUE and MAP_VALUE[piece].match(text, m.end()):
+            keys.add(piece)
+            if len(keys) > 1 and '"version"' in keys:
+                return True
+    return False
+
+
 class Notices:
     def __init__(self):
         self.automaton = ahocorasick.Automaton()
@@ -161,7 +180,7 @@ def why(path: str, text: str | None) -> str:
     if LOCK_FILE.search(path):
         return "lock_file"
     if text:
-        if SOURCE_MAP.match(text):
+        if source_map(text):
             return "source_map"
         if LOCK_TEXT.match(text):
             return "lock_file"
