@@ -1,9 +1,9 @@
 """Problem 8: filling containers of fixed capacity with the texts of documents, measured in tokens.
 
-Method: bin completion. Around the largest text left, the undominated fillings of the rest of its container are
-enumerated (larger sizes first, a filling is dominated if an unused text could replace a smaller one in it), a branch is
-cut as soon as its waste cannot fall below the best one found, and best-fit-decreasing is the incumbent that the
-search has to beat. Work is split into groups of bounded size by a hash of the row, so that nothing is collected whole:
+Method: a greedy part of bin completion. Around the largest text left, fillings of the rest of its container are searched,
+larger sizes first, until one leaves no room or NODES are used up; the fullest is taken. Dominated fillings are not left
+out, waste is not bounded, and other fillings of a container are not tried later; best-fit-decreasing is taken where it
+needs no more containers. Work is split into groups of bounded size by a hash of the row, so that nothing is collected whole:
 each group leaves at most its last containers partly empty, and these are packed once more across groups.
 
 Defined results: a text longer than the capacity is cut into full containers and one rest, which is packed like a
@@ -45,7 +45,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def completion(values: list[int], counts: dict[int, int], room: int, nodes: int = NODES) -> list[int]:
-    """Sizes out of counts (values ascending) that fill room with the least waste found; branch and bound."""
+    """Sizes out of counts (values ascending) that fill room with the least waste found; depth first, no bound but room and nodes."""
     best: list[int] = []
     waste = room
     left = nodes
