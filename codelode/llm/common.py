@@ -44,6 +44,64 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it doesn't exist."""
+    fs, at = _files(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, at = _files(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file under a name that must be new; written aside and renamed, so that nobody reads half of it."""
+    fs, at = _files(spark, path)
+    if fs.exists(at):
+        raise FileExistsError(path)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = fs.create(aside, True)
+    stream.write(text.encode())
+    stream.close()
+    if not fs.rename(aside, at):
+        fs.delete(aside, False)
+        raise FileExistsError(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
+
+
+BLOCK = 1_000  # rows of a group that are paired in one key
+
+
+def block_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(x, y), x < y: each two members (text, id, n) of the groups paired in (a, b, n_a, n_b); a group paired with itself has a = b.
+
+    Groups fall into blocks of about BLOCK members by a hash, and blocks are joined with blocks, so that no key has more than
+    BLOCK times BLOCK pairs, however large a group is. Members without id are in no pair.
+    """
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
+    at = members.where("id is not null").select("text", "id", F.pmod(F.xxhash64("id"), blocks("n")).cast("int").alias("block"))
+    spread = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), blocks("n_a") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n_b") - 1)))
+    spread = spread.where("a <> b or i <= j").select("a", "b", "i", "j")
+    both = spread.join(at.toDF("a", "id_a", "i"), ["a", "i"]).join(at.toDF("b", "id_b", "j"), ["b", "j"])
+    both = both.where("id_a <> id_b and (a <> b or i < j or id_a < id_b)")
+    return both.select(F.least("id_a", "id_b").alias("x"), F.greatest("id_a", "id_b").alias("y"))
+
+
 def pieces(rows: int, per_piece: int) -> int:
     return max(1, math.ceil(rows / per_piece))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import block_pairs, stored
 
 #: Letters of other scripts with the shape of a Latin letter (fixed values, after Unicode's confusables data).
 SAME_SHAPE = {
@@ -168,30 +168,34 @@ def _digests(texts: list[str | None]) -> list[pa.Array]:
     return [pa.array([of(f) if f and not f.isspace() else None for f in made], pa.binary()), pa.array([of(t) for t in texts], pa.binary())]
 
 
-FULL = 10_000  # a pair of classes with more rows against rows than this links each row to the other class's first row
+def _spellings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, form, same): digests of the form and of the text of each row that shows anything."""
 
-
-def same_looking(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b: rows whose texts differ but have one form.
-
-    Only digests are shuffled. Rows with equal texts form a class; two classes of one form give all their pairs, or,
-    when these exceed FULL, a pair of each row with the first row of the other class, so that no link is lost.
-    """
     def run(batches):
         return _run(batches, ["id", "form", "same"], _digests)
 
     rows = docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, "id bigint, form binary, same binary").where("form is not null").distinct()
-    rows = stored(rows, "forms")  # read four times below
-    classes = rows.groupBy("form", "same").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    many = classes.groupBy("form").agg(F.count("*").alias("kinds")).where("kinds > 1").select("form")
-    classes = classes.join(many, "form", "left_semi")
-    a, b = (classes.select("form", *(F.col(c).alias(f"{c}_{s}") for c in ("same", "first", "n"))) for s in "ab")
-    pairs = a.join(b, "form").where("same_a < same_b").withColumn("full", F.col("n_a") * F.col("n_b") <= FULL)
-    member = rows.select(F.col("same"), F.col("id"))
-    ma, mb = (member.select(F.col("same").alias(f"same_{s}"), F.col("id").alias(f"id_{s}")) for s in "ab")
-    whole = pairs.where("full").join(ma, "same_a").join(mb, "same_b").select("id_a", "id_b")
-    star = pairs.where("not full")
-    left = star.join(ma, "same_a").select("id_a", F.col("first_b").alias("id_b"))
-    right = star.join(mb, "same_b").select(F.col("first_a").alias("id_a"), "id_b")
-    both = whole.unionByName(left).unionByName(right).where("id_a <> id_b")
-    return both.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).distinct()
+    return stored(rows, "forms")  # read several times
+
+
+def same_looking(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id_a, doc_id_b), a < b: all rows whose texts differ but have one form.
+
+    Only digests are shuffled. The rows of a form that has several spellings are paired block by block, so that no key grows
+    with the form. All pairs come out; for the classes behind them see form_classes. Runs once when it is built.
+    """
+    rows = _spellings(docs, key, text)
+    per = rows.groupBy("form").agg(F.count("id").alias("n"), F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y").select("form", "n")
+    member = rows.join(per, "form").select(F.col("form").alias("text"), F.struct("id", "same").alias("id"), "n").where("id.id is not null")
+    own = per.select(F.col("form").alias("a"), F.col("form").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    both = block_pairs(own, member).where("x.same <> y.same and x.id <> y.id")
+    return both.select(F.col("x.id").alias("doc_id_a"), F.col("y.id").alias("doc_id_b")).distinct()
+
+
+def form_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id, text_id, spellings): each row that shows anything with the least row of its form, the least row of its
+    very text, and the number of different texts of the form. Linear, whatever the number of spellings."""
+    rows = _spellings(docs, key, text)
+    texts = rows.groupBy("form", "same").agg(F.min("id").alias("text_id"))
+    forms = texts.groupBy("form").agg(F.min("text_id").alias("class_id"), F.count("*").alias("spellings"))
+    return rows.join(texts, ["form", "same"]).join(forms, "form").select(F.col("id").alias(key), "class_id", "text_id", "spellings")

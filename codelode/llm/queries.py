@@ -50,6 +50,14 @@ def p5_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_share(table(spark, sf_dir, "chunks"))
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.chunk_classes(table(spark, sf_dir, "chunks"))
+
+
+def p5_class_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.class_pairs(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.credential_lines(table(spark, sf_dir, "chunks"))
 
@@ -74,8 +82,12 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_texts(table(spark, sf_dir, "documents"))
 
 
+def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.form_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p1_found, p1_neighbours, p2_found, p2_reasons, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_share, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms]
+    found = [p1_found, p1_neighbours, p2_found, p2_reasons, p3_found, p3_pieces, p4_found, p4_rates, p5_found, p5_share, p5_classes, p5_class_pairs, p6_found, p6_masked, p7_ids, p8_packed, p9_found, p9_forms, p9_classes]
     return {f.__name__: f for f in found}
 
 

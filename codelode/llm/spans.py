@@ -3,9 +3,14 @@
 Windows of SPAN characters are winnowed: of the GRAM-character hashes in a window the smallest is kept, so any span of SPAN
 characters leaves the same fingerprint in every text it stands in. Fingerprints live in a log-structured index: immutable
 runs sorted by hash; a new batch is merge-joined with the runs and with itself, the pairs are verified on the texts, the
-batch becomes a run of its own, and runs of like size are compacted into one.
+batch becomes a run of its own, and runs of like size are compacted into one. An index can be kept in a folder for
+batches to come.
 
 Equal contents form one class (by their md5); only classes are fingerprinted and compared, whatever the number of copies.
+A fingerprint that more than HOT texts have (a licence header) isn't compared pair by pair: its texts are grouped by the
+exact windows of SPAN characters around it, which is linear in the texts; windows with the same texts count once.
+
+The operators here write, count and collect before they return a DataFrame: they run when they are built.
 
 Defined results: null contents and those shorter than SPAN share nothing; repeated rows of a chunk count once; repetition
 within a chunk is no case; characters are code points; nothing is normalised.
@@ -13,8 +18,11 @@ within a chunk is no case; characters are code points; nothing is normalised.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import possibly_in, shared_dir, stored
+from .common import block_pairs, listed, possibly_in, read_text, removed, shared_dir, stored, write_text
 
 SPAN, GRAM = 300, 180
-FULL = 10_000  # pairs of two classes with more rows against rows link each row to the other class's first row
+HOT = 50  # texts with one print that are compared pair by pair; more of them are grouped by their exact windows
 BATCHES = 3  # the corpus enters the index in so many batches by time of ingestion
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -116,47 +124,89 @@ def shared_windows(a: str, b: str, span: int = SPAN) -> tuple[list[list[int]], l
     return stretches(ha), stretches(hb)
 
 
-@dataclass
 class FingerprintIndex:
-    """Runs of (print, text), each sorted by print and never changed once written."""
+    """Log-structured index in a folder: immutable runs of (print, text, n), and manifests that name the valid ones.
+
+    A run is bucketed and sorted by print, n is the number of its texts with that print. All runs of an index have the same
+    number of buckets, so a batch that is written as a run of its own meets older runs bucket by bucket: history is neither
+    shuffled nor rewritten, but for the compaction of runs of one level. Each append ends with a new manifest, created under
+    the next number and never changed; who opens the folder later, in another session too, goes on from the last one.
+    """
 
-    spark: SparkSession
-    fan: int = 2  # so many runs of one level become one of the next
-    runs: list[tuple[int, str]] = field(default_factory=list)
+    def __init__(self, spark: SparkSession, path: str | None = None, fan: int = 2, buckets: int | None = None):
+        self.spark, self.fan, self.path = spark, fan, (path or shared_dir(spark, "index")).rstrip("/")
+        self.version, self.runs = 0, []
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for name in sorted(listed(spark, self.path)):
+            if name.startswith("manifest-") and name.endswith(".json"):
+                last = json.loads(read_text(spark, f"{self.path}/{name}"))
+                self.version, self.buckets, self.runs = last["version"], last["buckets"], [tuple(r) for r in last["runs"]]
+
+    def table(self, run: str) -> DataFrame:
+        """A run as a bucketed table; entered in the session's catalogue where it isn't yet."""
+        if not self.spark.catalog.tableExists(run):
+            place = f"{self.path}/{run}".replace("'", "\\'")
+            self.spark.sql(
+                f"CREATE TABLE {run} (print BIGINT, text BINARY, n BIGINT) USING parquet "
+                f"CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{place}'"
+            )
+        return self.spark.table(run)
 
     def _write(self, rows: DataFrame) -> str:
-        path = shared_dir(self.spark, "run")
-        rows.repartition("print").sortWithinPartitions("print").write.parquet(path)
-        return path
-
-    def append(self, batch: DataFrame) -> DataFrame:
-        """Pairs (a < b) of texts with a common fingerprint, at least one of them in the batch; the batch becomes a run."""
-        run = self._write(batch.select("print", "text").distinct())
-        new = self.spark.read.parquet(run)
-        left = new.toDF("print", "x")
-        pairs = left.join(new.toDF("print", "y"), "print").where("x < y").select("x", "y")
-        for _, path in self.runs:
-            met = left.join(self.spark.read.parquet(path).toDF("print", "y"), "print").where("x <> y")
+        run = f"run_{uuid.uuid4().hex}"
+        placed = rows.select("print", "text").repartition(self.buckets, "print").dropDuplicates(["print", "text"])
+        counted = placed.withColumn("n", F.count("*").over(W.partitionBy("print")))
+        counted.write.bucketBy(self.buckets, "print").sortBy("print").option("path", f"{self.path}/{run}").saveAsTable(run)
+        return run
+
+    def met(self, run: str, old: str) -> DataFrame:
+        """(print, x, y, nx, ny): texts of a run beside those of an older one that have the same print. No exchange."""
+        return self.table(run).toDF("print", "x", "nx").join(self.table(old).toDF("print", "y", "ny").hint("merge"), "print").where("x <> y")
+
+    def append(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The batch becomes a run. Comes out: pairs (a < b) of texts with a common print, at least one of them in the batch;
+        and (print, text) of the prints that more than HOT texts have, whose pairs are left out."""
+        run = self._write(batch)
+        within = self.table(run).where(F.col("n") <= HOT)
+        pairs = within.toDF("print", "x", "nx").join(within.toDF("print", "y", "ny").hint("merge"), "print").where("x < y").select("x", "y")
+        hot = self.table(run).where(F.col("n") > HOT).select("print")
+        new = self.table(run).groupBy("print").agg(F.first("n").alias("nx"))
+        for _, old in self.runs:
+            met = self.met(run, old).where(F.col("nx") + F.col("ny") <= HOT)
             pairs = pairs.unionByName(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+            both = new.join(self.table(old).groupBy("print").agg(F.first("n").alias("ny")).hint("merge"), "print")
+            hot = hot.unionByName(both.where(F.col("nx") + F.col("ny") > HOT).select("print"))
         found = stored(pairs.distinct().toDF("a", "b"), "pairs")
+        hot = stored(hot.distinct(), "hot")
+        members = [self.table(r).join(hot, "print", "left_semi").select("print", "text") for r in (run, *(r for _, r in self.runs))]
+        members = stored(reduce(DataFrame.unionByName, members).distinct(), "members")
         self.runs.append((0, run))
-        self.compact()
-        return found
+        self._compact()
+        self.version += 1
+        write_text(self.spark, f"{self.path}/manifest-{self.version:08d}.json", json.dumps({"version": self.version, "buckets": self.buckets, "runs": self.runs}))
+        return found, members
+
+    def _compact(self) -> None:
+        """Merge the runs of a level once there are fan of them; what was in two runs stands in the merged one once.
 
-    def compact(self) -> None:
-        """Merge the runs of a level once there are fan of them; what was in two runs stands in the merged one once."""
+        The runs merged stay where they are for those who read by an older manifest, until vacuum.
+        """
         level = 0
-        while True:
+        while any(r[0] >= level for r in self.runs):
             same = [r for r in self.runs if r[0] == level]
-            if len(same) < self.fan:
-                if not any(r[0] > level for r in self.runs):
-                    return
-                level += 1
-                continue
-            merged = self.spark.read.parquet(*(path for _, path in same)).distinct()
-            self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, self._write(merged))]
+            if len(same) >= self.fan:
+                merged = reduce(DataFrame.unionByName, [self.table(r) for _, r in same])
+                self.runs = [r for r in self.runs if r[0] != level] + [(level + 1, self._write(merged))]
             level += 1
 
+    def vacuum(self) -> None:
+        """Delete the runs that the last manifest doesn't name; for when nobody reads by an older one."""
+        kept = {r for _, r in self.runs}
+        for name in listed(self.spark, self.path):
+            if name.startswith("run_") and name not in kept:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                removed(self.spark, f"{self.path}/{name}")
+
 
 def _prepared(chunks: DataFrame) -> DataFrame:
     return chunks.where(F.length("content") >= SPAN).select("chunk_id", "content", "ingested_at", F.unhex(F.md5("content")).alias("text"))
@@ -201,8 +251,27 @@ def verified(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, sa array<array<int>>, sb array<array<int>>")
 
 
-def sharing_texts(chunks: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """Pairs of different texts that share a span, by way of the index."""
+def hot_windows(members: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(window, text, start): the windows of SPAN characters around the members' prints, by a digest of their characters."""
+    of = members.groupBy("text").agg(F.collect_set("print").alias("prints"))
+    texts = possibly_in(_prepared(chunks).select("text", "content"), "text", of, "text").groupBy("text").agg(F.first("content").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, content, prints in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                grams = window_hashes(points(content), GRAM).view(np.int64)
+                spots = np.flatnonzero(np.isin(grams, np.array(prints, dtype=np.int64)))
+                starts = np.unique((spots[:, None] - np.arange(SPAN - GRAM + 1)[None, :]).ravel())
+                starts = starts[(starts >= 0) & (starts <= len(content) - SPAN)]
+                names = [hashlib.blake2b(content[i : i + SPAN].encode("utf-8", "surrogatepass"), digest_size=16).digest() for i in starts.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([key] * len(names), pa.binary()), pa.array(starts, pa.int32())], names=["window", "text", "start"])
+
+    return texts.join(of, "text").select("text", "content", "prints").mapInArrow(run, "window binary, text binary, start int")
+
+
+def sharing_texts(chunks: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> tuple[DataFrame, DataFrame]:
+    """Different texts that share a span, by way of the index: (a, b, sa, sb) by pairs with the shared stretches of both, and
+    (window, text, start) of the windows that several of more than HOT texts have."""
     rows = _prepared(chunks)
     cuts = chunks.agg(F.percentile_approx(F.col("ingested_at").cast("timestamp").cast("double"), [k / batches for k in range(1, batches)])).first()[0] or []
     when = F.coalesce(F.col("ingested_at").cast("timestamp").cast("double"), F.lit(0.0))
@@ -210,46 +279,75 @@ def sharing_texts(chunks: DataFrame, batches: int = BATCHES) -> DataFrame:
     path = shared_dir(chunks.sparkSession, "prints")
     text_prints(rows.withColumn("batch", batch)).distinct().write.partitionBy("batch").parquet(path)
     prints = chunks.sparkSession.read.schema("print bigint, text binary, batch int").parquet(path)
-    index, pairs = FingerprintIndex(chunks.sparkSession), None
+    index, pairs, members = index or FingerprintIndex(chunks.sparkSession), [], []
     for k in range(batches):
-        met = index.append(prints.where(F.col("batch") == k))
-        pairs = met if pairs is None else pairs.unionByName(met)
-    return stored(verified(pairs.distinct(), chunks), "sharing")
+        met, hot = index.append(prints.where(F.col("batch") == k))
+        pairs.append(met)
+        members.append(hot)
+    found = stored(verified(reduce(DataFrame.unionByName, pairs).distinct(), chunks), "sharing")
+    members = reduce(DataFrame.unionByName, members).distinct()
+    if members.isEmpty():
+        return found, chunks.sparkSession.createDataFrame([], "window binary, text binary, start int")
+    windows = stored(hot_windows(members, chunks), "windows")
+    several = windows.groupBy("window").agg(F.min("text").alias("x"), F.max("text").alias("y")).where("x <> y").select("window")
+    return found, stored(windows.join(several, "window", "left_semi"), "hot_windows")
+
+
+def text_pairs(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(a, b), a < b: every two different texts that share a span, once."""
+    each = windows.select("window", "text").distinct()
+    sets = each.groupBy("window").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(text))").alias("s"), F.expr("bit_xor(xxhash64(text, 1))").alias("t"))
+    sets = sets.groupBy("n", "s", "t").agg(F.min("window").alias("window"))  # windows of the same texts count once
+    own = sets.select(F.col("window").alias("a"), F.col("window").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    member = each.join(sets.select("window", "n"), "window").select(F.col("window").alias("text"), F.col("text").alias("id"), "n")
+    hot = block_pairs(own, member).toDF("a", "b")
+    return found.select("a", "b").unionByName(hot).distinct()
 
 
 def classes(chunks: DataFrame) -> DataFrame:
     """(text, chunk_id, first, n): the rows of each text, its first chunk and their number."""
     rows = _prepared(chunks).select("text", "chunk_id").distinct()
-    per = rows.groupBy("text").agg(F.min("chunk_id").alias("first"), F.count("*").alias("n"))
+    per = rows.groupBy("text").agg(F.min("chunk_id").alias("first"), F.count("chunk_id").alias("n"))
     return rows.join(per, "text")
 
 
 def sharing_chunks(chunks: DataFrame) -> DataFrame:
-    """(chunk_id_a, chunk_id_b), a < b: chunks that share a span of SPAN characters or more.
+    """(chunk_id_a, chunk_id_b), a < b: all chunks that share a span of SPAN characters or more.
 
-    Copies of one text and pairs of texts give all their pairs of chunks as long as these are at most FULL; beyond that
-    every chunk is paired with the first chunk of the other text (or of its own), so that no link is lost.
+    All pairs come out, however many copies a text has; they are formed block by block. For the classes behind them
+    see chunk_classes and class_pairs.
     """
-    pairs = sharing_texts(chunks).select("a", "b")
+    pairs = text_pairs(*sharing_texts(chunks))
     member = stored(classes(chunks), "classes")
-    per = member.select("text", "first", "n").distinct()
-    a, b = (per.toDF(s, f"first_{s}", f"n_{s}") for s in "ab")
-    sized = pairs.join(a, "a").join(b, "b").withColumn("full", F.col("n_a") * F.col("n_b") <= FULL)
-    own = per.where("n > 1").select(F.col("text").alias("a"), F.col("text").alias("b"), F.col("first").alias("first_a"), F.col("first").alias("first_b"), (F.col("n") * F.col("n") <= FULL).alias("full"))
-    sized = sized.select("a", "b", "first_a", "first_b", "full").unionByName(own.select("a", "b", "first_a", "first_b", "full"))
-    ma, mb = (member.select(F.col("text").alias(s), F.col("chunk_id").alias(f"id_{s}")) for s in "ab")
-    whole = sized.where("full").join(ma, "a").join(mb, "b").where("a <> b or id_a < id_b").select("id_a", "id_b")
-    star = sized.where("not full")
-    links = star.join(ma, "a").select("id_a", F.col("first_b").alias("id_b")).unionByName(star.where("a <> b").join(mb, "b").select(F.col("first_a").alias("id_a"), "id_b"))
-    both = whole.unionByName(links).where("id_a <> id_b")
-    return both.select(F.least("id_a", "id_b").alias("chunk_id_a"), F.greatest("id_a", "id_b").alias("chunk_id_b")).distinct()
+    per = member.select("text", "n").distinct()
+    a, b = (per.toDF(s, f"n_{s}") for s in "ab")
+    own = per.where("n > 1").select(F.col("text").alias("a"), F.col("text").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))
+    sized = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b").unionByName(own)
+    return block_pairs(sized, member.select("text", F.col("chunk_id").alias("id"), "n")).toDF("chunk_id_a", "chunk_id_b").distinct()
+
+
+def class_pairs(chunks: DataFrame) -> DataFrame:
+    """(class_a, class_b), a < b: different texts that share a span, each by the least chunk_id it stands in."""
+    pairs = text_pairs(*sharing_texts(chunks))
+    first = classes(chunks).select("text", "first").distinct()
+    named = pairs.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    return named.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b")).distinct()
+
+
+def chunk_classes(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, class_id, copies, links): each chunk of SPAN characters or more with the least chunk of the same text, the
+    number of chunks of that text, and the number of other texts that share a span with it."""
+    pairs = text_pairs(*sharing_texts(chunks))
+    links = pairs.select(F.col("a").alias("text")).unionByName(pairs.select(F.col("b").alias("text"))).groupBy("text").agg(F.count("*").alias("links"))
+    return classes(chunks).join(links, "text", "left").select("chunk_id", F.col("first").alias("class_id"), F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def shared_share(chunks: DataFrame) -> DataFrame:
     """(chunk_id, chars, shared_chars, share): how much of every chunk stands in another one."""
-    found = sharing_texts(chunks)
+    found, windows = sharing_texts(chunks)
     sides = found.select(F.col("a").alias("text"), F.explode("sa").alias("s")).unionByName(found.select(F.col("b").alias("text"), F.explode("sb").alias("s")))
-    spans = sides.select("text", F.col("s")[0].alias("x"), F.col("s")[1].alias("y")).distinct()
+    hot = windows.select("text", F.col("start").alias("x"), (F.col("start") + SPAN).alias("y"))
+    spans = sides.select("text", F.col("s")[0].alias("x"), F.col("s")[1].alias("y")).unionByName(hot).distinct()
     before = F.max("y").over(W.partitionBy("text").orderBy("x", "y").rowsBetween(W.unboundedPreceding, -1))
     covered = spans.withColumn("top", F.coalesce(before, F.lit(0))).groupBy("text").agg(F.sum(F.greatest(F.lit(0), F.col("y") - F.greatest("x", "top"))).alias("covered"))
     rows = chunks.select("chunk_id", F.coalesce(F.length("content"), F.lit(0)).alias("chars"), F.when(F.length("content") >= SPAN, F.unhex(F.md5("content"))).alias("text")).distinct()

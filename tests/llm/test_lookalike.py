@@ -39,14 +39,14 @@ def test_pairs_of_classes(spark):
     assert same_looking(docs.limit(0)).count() == 0
 
 
-def test_large_classes_lose_no_link(spark):
-    import codelode.llm.lookalike as L
+def test_many_rows_of_a_form_give_all_pairs(spark, monkeypatch):
+    from codelode.llm import common
+    from codelode.llm.lookalike import form_classes
 
-    rows = [(k, "order") for k in range(30)] + [(100 + k, "ord" + CYR_E + "r") for k in range(30)]
+    monkeypatch.setattr(common, "BLOCK", 8)
+    rows = [(k, "order") for k in range(30)] + [(100 + k, "ord" + CYR_E + "r") for k in range(30)] + [(200, CYR_O + "rder"), (300, "other"), (301, None), (302, " ")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    before, L.FULL = L.FULL, 100
-    try:
-        found = {tuple(r) for r in same_looking(docs).collect()}
-    finally:
-        L.FULL = before
-    assert {x for p in found for x in p} == {r[0] for r in rows} and len(found) < 100
+    found = [tuple(r) for r in same_looking(docs).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(a, b) for a, x in rows[:61] for b, y in rows[:61] if a < b and x != y}
+    got = {tuple(r) for r in form_classes(docs).collect()}
+    assert got == {(k, 0, 0, 3) for k in range(30)} | {(100 + k, 0, 100, 3) for k in range(30)} | {(200, 0, 200, 3), (300, 300, 300, 1)}

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 from codelode.llm import spans
-from codelode.llm.spans import fingerprints, shared_share, shared_windows, sharing_chunks, sliding_min
+from codelode.llm.spans import FingerprintIndex, chunk_classes, class_pairs, fingerprints, shared_share, shared_windows, sharing_chunks, sliding_min, text_prints
 
 T = "timestamp'2024-01-0{} 00:00:00'"
 
@@ -76,14 +76,66 @@ def test_share_of_each_chunk(spark, rows):
         assert r["chars"] == len(text) and r["shared_chars"] == len(mask), key
 
 
-def test_large_classes_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(spans, "FULL", 20)
-    rng = random.Random(8)
-    text = noise(rng, 400)
-    rows = [(k, text) for k in range(8)] + [(20 + k, text + "!") for k in range(8)]
-    found = {tuple(r) for r in sharing_chunks(frame(spark, rows)).collect()}
-    assert {x for p in found for x in p} == {r[0] for r in rows} and len(found) < len(brute(rows))
-    assert any(a < 20 <= b for a, b in found)
+def test_150_equal_chunks_give_all_pairs(spark):
+    text = noise(random.Random(8), 400)
+    rows = [(k, text) for k in range(150)] + [(200 + k, text + "!") for k in range(3)]
+    df = frame(spark, rows)
+    assert {tuple(r) for r in sharing_chunks(df).collect()} == brute(rows) and len(brute(rows)) == 153 * 152 // 2
+    got = {tuple(r) for r in chunk_classes(df).collect()}
+    assert got == {(k, 0, 150, 1) for k in range(150)} | {(k, 200, 3, 1) for k in range(200, 203)}
+    assert [tuple(r) for r in class_pairs(df).collect()] == [(0, 200)]
+
+
+def test_blocks_leave_no_pair_out(spark, monkeypatch):
+    from codelode.llm import common
+
+    monkeypatch.setattr(common, "BLOCK", 7)
+    text = noise(random.Random(9), 350)
+    rows = [(k, text) for k in range(40)] + [(100 + k, "?" + text) for k in range(25)]
+    assert {tuple(r) for r in sharing_chunks(frame(spark, rows)).collect()} == brute(rows)
+
+
+def test_a_print_of_many_texts_is_grouped_by_windows(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", 5)
+    rng = random.Random(10)
+    header, cut = noise(rng, 310), noise(rng, 200)
+    rows = [(k, header + noise(rng, rng.randrange(100, 300))) for k in range(20)] + [(30 + k, noise(rng, 50) + cut + noise(rng, 200)) for k in range(20)] + [(60, noise(rng, 20) + header + cut)]
+    df = frame(spark, rows)
+    assert {tuple(r) for r in sharing_chunks(df).collect()} == brute(rows)
+    texts = dict(rows)
+    for r in shared_share(df).collect():
+        others, text, mask = {t[i : i + 300] for k, t in rows if k != r["chunk_id"] for i in range(len(t) - 299)}, texts[r["chunk_id"]], set()
+        for i in range(len(text) - 299):
+            if text[i : i + 300] in others:
+                mask.update(range(i, i + 300))
+        assert r["shared_chars"] == len(mask)
+
+
+def prints_of(spark, rows):
+    df = frame(spark, rows)
+    return text_prints(spans._prepared(df).selectExpr("text", "content", "0 as batch"))
+
+
+def test_an_index_goes_on_where_it_was_left(spark, rows, tmp_path):
+    path, texts = f"file://{tmp_path}/index", [r for r in rows if r[1]]
+    pairs = set()
+    for part in (texts[:8], texts[8:15], texts[15:18], texts[18:]):
+        met, _ = FingerprintIndex(spark, path, fan=3).append(prints_of(spark, part))  # opened anew for each batch
+        pairs |= {(bytes(r["a"]), bytes(r["b"])) for r in met.collect()}
+    whole, _ = FingerprintIndex(spark).append(prints_of(spark, texts))
+    assert pairs == {(bytes(r["a"]), bytes(r["b"])) for r in whole.collect()}
+    index = FingerprintIndex(spark, path)
+    assert index.version == 4 and [level for level, _ in index.runs] == [1, 0]
+    index.vacuum()
+    assert index.table(index.runs[0][1]).count() > 0
+
+
+def test_history_is_not_shuffled(spark, rows):
+    index = FingerprintIndex(spark, fan=9)
+    for part in (rows[:10], rows[10:20]):
+        index.append(prints_of(spark, part))
+    (_, old), (_, new) = index.runs
+    assert "Exchange" not in index.met(new, old)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_empty(spark, rows):
