@@ -1,15 +1,61 @@
 import random
+from collections import Counter
 
-from codelode.llm.packing import best_fit, completion, fill_report, pack, packed
+from codelode.llm.packing import Budget, best_fit, complete, completions, dominated, fill_report, least_containers, pack, packed
 
 
-def test_completion_finds_exact_fillings():
-    values = [3, 5, 8, 13]
-    counts = {3: 2, 5: 1, 8: 1, 13: 1}
-    assert sum(completion(values, counts, 11)) == 11
+def test_completions_are_undominated_and_within_the_waste_allowed():
+    values, counts = [3, 5, 8, 13], {3: 2, 5: 1, 8: 1, 13: 1}
+    budget = Budget(1000)
+    assert completions(values, counts, 11, 11, budget) == [(0, [8, 3])]  # 5 + 3 + 3 is dominated: 8 could stand for 5 + 3
     assert counts == {3: 2, 5: 1, 8: 1, 13: 1}
 
 
+def test_dominance():
+    assert dominated([4], 2, [4, 5], {4: 0, 5: 1})  # 5 could stand for 4
+    assert dominated([3, 2], 0, [2, 3, 5], {2: 0, 3: 0, 5: 1})  # 5 could stand for both
+    assert not dominated([4], 2, [4, 7], {4: 0, 7: 1}) and not dominated([4], 2, [4, 5], {4: 0, 5: 0})
+
+
+def test_pruning_is_counted():
+    budget = Budget(10_000)
+    completions([10, 20, 30, 40, 50], {10: 1, 20: 1, 30: 1, 40: 1, 50: 1}, 90, 0, budget)
+    assert budget.bounded > 0 and budget.dominated > 0 and budget.left > 9_000
+
+
+def test_least_containers():
+    assert least_containers([6, 6, 6], 10) == 3 and least_containers([5, 5, 5, 5], 10) == 2 and least_containers([7, 4, 4], 10) == 2 and least_containers([], 10) == 0
+    rng = random.Random(4)
+    for _ in range(50):
+        sizes = [rng.randrange(1, 20) for _ in range(9)]
+        assert -(-sum(sizes) // 20) <= least_containers(sizes, 20) <= len(pack(sizes, 20))
+
+
+def test_containers_are_undone():
+    rng = random.Random(11)
+    solved = 0
+    for _ in range(30):
+        sizes = []
+        for _ in range(6):
+            a = rng.randrange(1, 30)
+            sizes += [a, 40 - a - (b := rng.randrange(1, 40 - a)), b]
+        budget = Budget(200_000)
+        bins, whole = complete(Counter(sizes), 40, 6, budget)
+        solved += whole
+        assert not whole or sorted(v for b in bins for v in b) == sorted(sizes)
+    assert solved == 30
+
+
+def test_triples_that_fill_every_container():
+    rng, sizes = random.Random(0), []
+    for _ in range(400):
+        a = rng.randrange(100, 500)
+        b = rng.randrange(100, min(500, 901 - a))
+        sizes += [a, b, 1000 - a - b]
+    rng.shuffle(sizes)
+    assert len(best_fit(sizes, 1000)) > 400 and len(pack(sizes, 1000)) == 400
+
+
 def test_never_worse_than_best_fit_and_never_over_capacity():
     rng = random.Random(2)
     for _ in range(60):
