@@ -42,6 +42,7 @@ FILE_KEYWORDS, QUERY_KEYWORDS, FALLBACK_KEYWORDS = 20, 10, 5
 SYMBOL_BOOST, VECTOR_BOOST, VECTOR_GATE = 5, 3, 0.3
 LEAST_SCORE, CONTEXT_CHARS, TOP_FILES, VECTOR_HITS, SEARCH_HITS = 0.2, 24_000, 5, 10, 50
 FILE_CHARS, MAP_FILES, MAP_SYMBOLS = 8000, 150, 12
+RERANK_FILES, REPORT_ENTRIES, SUMMARY_CHARS = 10, 15, 2000
 SCHEMA_VERSION = 7
 
 # First pattern that matches a line wins; the group "name" is the symbol (fixed values).

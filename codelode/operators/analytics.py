@@ -102,6 +102,21 @@ def infrastructure(listing: DataFrame) -> DataFrame:
     return listing.select("project_id", F.explode(hits).alias("r")).select("project_id", "r.category", "r.name").distinct()
 
 
+def workflows(listing: DataFrame) -> DataFrame:
+    """(project_id, category, name): how many workflows each project has, where it has some."""
+    rows = listing.where(F.col("rel_path").rlike(r"^\.github/workflows/[^/]*\.ya?ml$")).groupBy("project_id").agg(F.countDistinct("rel_path").alias("n"))
+    return rows.select("project_id", F.lit("ci_cd_detail").alias("category"), F.concat(F.col("n").cast("string"), F.lit(" workflow(s)")).alias("name"))
+
+
+def connected_symbols(top: DataFrame, symbols: DataFrame, k: int = 8) -> DataFrame:
+    """The files that most edges lead to, each with its first k symbols by line."""
+    few = symbols.join(top.select("project_id", F.col("target_path").alias("rel_path")), ["project_id", "rel_path"], "left_semi")
+    rank = F.row_number().over(W.partitionBy("project_id", "rel_path").orderBy("line", "name"))
+    some = few.select("project_id", "rel_path", "name", "line").distinct().withColumn("r", rank).where(F.col("r") <= k)
+    names = some.groupBy("project_id", F.col("rel_path").alias("target_path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("symbols"))
+    return top.join(names, ["project_id", "target_path"], "left").withColumn("symbols", F.coalesce("symbols", F.array().cast("array<string>")))
+
+
 def representative_files(measures: DataFrame, imports: DataFrame, k: int = 3) -> DataFrame:
     """The k best files of each module by symbols, name, fan-in and size."""
     edges = imports.where("target_path is not null").groupBy("project_id", F.col("target_path").alias("rel_path")).agg(F.count("*").alias("edges"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codelode.functions import fixed
-from codelode.functions.text import is_stop_word, words
+from codelode.functions.text import any_of, is_stop_word, words
 
 
 def top_keywords(docs: DataFrame, keys: list[str], text: str, n: int = fixed.FILE_KEYWORDS) -> DataFrame:
@@ -35,8 +35,19 @@ def idf(total: Column, df: Column) -> Column:
 
 
 def postings_of(docs: DataFrame, keys: list[str], text: str, terms: DataFrame, n: int = fixed.FILE_KEYWORDS) -> DataFrame:
-    """Index rows of the query's terms. The terms are at most ten and broadcast; df comes from these rows alone."""
-    return top_keywords(docs, keys, text, n).select("keyword", *keys).join(F.broadcast(terms), "keyword")
+    """J01 where no index is stored: index rows of the query's terms, ten at most and broadcast.
+
+    Only texts that hold one of the terms can have it as a keyword; the others aren't taken apart. df comes from these rows
+    alone.
+    """
+    wanted = [r["keyword"] for r in terms.collect()]
+    some = docs.where(any_of(F.lower(F.col(text)), tuple(wanted))) if wanted else docs.where(F.lit(False))
+    return top_keywords(some, keys, text, n).select("keyword", *keys).where(F.col("keyword").isin(*wanted) if wanted else F.lit(False))
+
+
+def stored_postings(index: DataFrame, terms: list[str]) -> DataFrame:
+    """The rows of a stored index for the terms of a query; the values reach the scan as a filter."""
+    return index.where(F.col("keyword").isin(*terms)) if terms else index.where(F.lit(False))
 
 
 def idf_scores(postings: DataFrame, keys: list[str], total: DataFrame) -> DataFrame:

@@ -33,9 +33,13 @@ def vector_scores(hits: DataFrame, path: str = "rel_path") -> DataFrame:
 
 def hybrid_scores(texts: DataFrame, symbols: DataFrame, query: str, hits: DataFrame | None = None) -> DataFrame:
     """Contributions of keywords, symbols and vectors, added up by file."""
-    terms = query_terms(texts, query)
     total = texts.agg(F.count("*").alias("n"))
-    parts = idf_scores(postings_of(texts, ["rel_path"], "text", terms), ["rel_path"], total)
+    parts = idf_scores(postings_of(texts, ["rel_path"], "text", query_terms(texts, query)), ["rel_path"], total)
+    return combined(parts, symbols, query, hits)
+
+
+def combined(parts: DataFrame, symbols: DataFrame, query: str, hits: DataFrame | None = None) -> DataFrame:
+    """Scores of the keywords with those of symbols and vectors."""
     parts = parts.unionByName(symbol_scores(symbols, query))
     if hits is not None:
         parts = parts.unionByName(vector_scores(hits))

@@ -16,6 +16,7 @@ from codelode.operators import manifests as N
 from codelode.operators import retrieval as R
 from codelode.sources.tables import file_texts, table, valid_chunks, valid_files, valid_imports, valid_symbols
 
+from . import invented as X
 from .registry import CHUNKS, FILES, LINES, TEXTS, escaped, listed, query
 
 ASKED = "encode worker batch from the queue index and verify channel"
@@ -222,7 +223,9 @@ def context_pack_fold(spark, folder):
     "select project_id, rel_path, cast(line as bigint) as line, trim(t, ' ') as content from l where contains(lower(t), 'ledger') order by project_id, rel_path, line limit 50"
 )
 def search_code(spark, folder):
-    return R.search_lines(texts(spark, folder), ["project_id", "rel_path"], "Ledger")
+    key, chunks = ["project_id", "rel_path"], table(spark, folder, "chunks")
+    hit = chunks.where(F.contains(F.lower("content"), F.lit("ledger"))).select(*key).distinct()  # a line stands in one chunk
+    return R.search_lines(file_texts(chunks.join(hit, key, "left_semi")), key, "Ledger")
 
 
 @query(f"with {TEXTS} select project_id, rel_path, text, cast(length(text) as bigint) as chars from texts")
@@ -362,12 +365,14 @@ def ratio_label(spark, folder):
 
 
 @query(
-    f"with {CHUNKS}, f as (select project_id, lower(regexp_extract(rel_path, '\\.[^./]+$')) as ext, lower(coalesce(content, '')) as t from chunks_v where chunk_index < 3 and {IS_TEST}), "
+    X.sql(
+        f"with {CHUNKS}, f as (select project_id, lower(regexp_extract(rel_path, '\\.[^./]+$')) as ext, lower(coalesce(content, '')) as t from chunks_v where chunk_index < 3 and {IS_TEST}), "
     f"w(ext, framework) as (values {', '.join(f'({listed([e])}, {listed([n])})' for e, ns in fixed.TEST_FRAMEWORKS.items() for n in ns)}) "
     "select distinct project_id, framework from f join w using (ext) where contains(t, framework)"
+    )
 )
 def test_frameworks(spark, folder):
-    first = valid_chunks(spark, folder).where("chunk_index < 3").select("project_id", "rel_path", F.col("content").alias("text"))
+    first = X.with_chunks(valid_chunks(spark, folder)).where("chunk_index < 3").select("project_id", "rel_path", F.col("content").alias("text"))
     return C.test_frameworks(first)
 
 
@@ -383,54 +388,71 @@ def _architecture_sql() -> str:
 
 
 @query(
-    f"with {FILES}, d as (select project_id, list(distinct x) as dirs from (select project_id, unnest(list_transform(string_split(rel_path, '/')[:-2], lambda s: lower(s))) as x from files_v) group by project_id), "
+    X.sql(
+        f"with {FILES}, d as (select project_id, list(distinct x) as dirs from (select project_id, unnest(list_transform(string_split(rel_path, '/')[:-2], lambda s: lower(s))) as x from files_v) group by project_id), "
     "m as (select project_id, list(distinct rel_path) as marks from files_v group by project_id), "
     f"e as (select project_id, unnest({_architecture_sql()}) as s from d full join m using (project_id)) "
     "select project_id, s.pattern as pattern, s.score as score, case when s.score >= 3 then 'high' when s.score >= 2 then 'medium' else 'low' end as confidence from e where s.score > 0"
+    )
 )
 def arch_score(spark, folder):
-    return A.architectures(valid_files(spark, folder))
+    return A.architectures(X.with_files(valid_files(spark, folder)))
 
 
 @query(
-    f"with {TEXTS}, n as (select project_id, rel_path, v.priority, v.description from texts join (values "
+    X.sql(
+        f"with {TEXTS}, n as (select project_id, rel_path, v.priority, v.description from texts join (values "
     + ", ".join(f"('{n}', {k}, '{d}')" for k, (n, d) in enumerate(fixed.ENTRY_POINTS))
     + f") v(name, priority, description) on v.name = {NAME}) "
     "select project_id, rel_path, cast(priority as int) as priority, description from n union all "
     f"select project_id, rel_path, {len(fixed.ENTRY_POINTS)}, '{fixed.GUARDED_SCRIPT}' from texts t anti join n using (project_id, rel_path) where ends_with(rel_path, '.py') and contains(text, '__name__') and contains(text, '__main__')"
+    )
 )
 def entry_points(spark, folder):
-    return C.entry_points(texts(spark, folder))
+    return C.entry_points(X.with_texts(texts(spark, folder)))
 
 
 @query(
-    f"with {FILES} select distinct project_id, category, v.name as name from files_v join (values "
+    X.sql(
+        f"with {FILES} select distinct project_id, category, v.name as name from files_v join (values "
     + ", ".join(f"('{m.rstrip('/')}', '{c}', '{n}')" for m, c, n in fixed.INFRASTRUCTURE)
     + ") v(m, category, name) on rel_path = m or starts_with(rel_path, m || '/')"
+        " union all select project_id, 'ci_cd_detail', cast(count(distinct rel_path) as varchar) || ' workflow(s)' from files_v where regexp_matches(rel_path, '^\\.github/workflows/[^/]*\\.ya?ml$') group by project_id"
+    )
 )
 def infrastructure(spark, folder):
-    return A.infrastructure(valid_files(spark, folder))
+    files = X.with_files(valid_files(spark, folder))
+    return A.infrastructure(files).unionByName(A.workflows(files))
 
 
 @query(
-    f"with {TEXTS} select distinct project_id, v.framework from texts join (values "
+    X.sql(
+        f"with {TEXTS} select distinct project_id, v.framework from texts join (values "
     + ", ".join(f"('{m}', '{w}', '{f}')" for m, ws in fixed.FRAMEWORKS.items() for w, f in ws.items())
     + f") v(m, w, framework) on {NAME} = m and contains(lower(text), w)"
+    )
 )
 def frameworks(spark, folder):
-    return N.framework_hints(texts(spark, folder))
+    return N.framework_hints(X.with_texts(texts(spark, folder)))
 
 
 @query(
-    f"""with {TEXTS}, m as (select project_id, {NAME} as name, text from texts),
+    X.sql(
+        f"""with {TEXTS}, m as (select project_id, {NAME} as name, text from texts),
 d as (select project_id, 'npm' as manager, unnest(json_keys(json_extract(text, '$.dependencies'))) as name, false as development from m where name = 'package.json' and json_valid(text)
   union all select project_id, 'npm', unnest(json_keys(json_extract(text, '$.devDependencies'))), true from m where name = 'package.json' and json_valid(text)
   union all select project_id, 'go', unnest(regexp_extract_all(text, '(?m)^\\s+([\\w./\\-]+)\\s+v', 1)), false from m where name = 'go.mod'
-  union all select project_id, 'bundler', unnest(regexp_extract_all(text, 'gem\\s+[''"]([^''"]+)[''"]', 1)), false from m where name = 'Gemfile')
-select * from d where name <> ''"""
+  union all select project_id, 'bundler', unnest(regexp_extract_all(text, 'gem\\s+[''"]([^''"]+)[''"]', 1)), false from m where name = 'Gemfile'
+  union all select project_id, 'cargo', unnest(list_filter(regexp_extract_all(text, '(?m)^(\\w[\\w-]*)\\s*=', 1), lambda x: x not in ('name', 'version', 'edition', 'authors', 'description', 'license', 'repository'))), false from m where name = 'Cargo.toml'
+  union all select project_id, 'pip', unnest(list_transform(list_filter(list_transform(string_split(trim(text, ' ' || chr(10)), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' and x[1] <> '#' and x[1] <> '-'), lambda x: trim(regexp_extract(x, '^[^>=<!\\[]*'), ' '))), false from m where name = 'requirements.txt'),
+e as (select distinct project_id from d where manager = 'pip' and name <> ''),
+toml as (select project_id, 'pip' as manager, unnest(list_transform(regexp_extract_all(regexp_extract(text, '(?s)dependencies\\s*=\\s*\\[(.*?)\\]', 1), '"([^"]+)"', 1), lambda x: trim(regexp_extract(x, '^[^>=<!\\[]*'), ' '))) as name, false as development
+  from m anti join e using (project_id) where name = 'pyproject.toml')
+select * from d where name <> '' union all select * from toml where name <> ''"""
+    )
 )
 def external_dependencies(spark, folder):
-    return N.dependencies(texts(spark, folder))
+    return N.dependencies(X.with_texts(texts(spark, folder)))
 
 
 @query(
@@ -642,30 +664,78 @@ def stale_projects(spark, folder):
     return rows.select("project_id", "file_count", "files", (~F.col("file_count").cast("bigint").eqNullSafe(F.col("files"))).alias("stale"))
 
 
+REPORT = f"""{MEASURES}{TEXTS[len(CHUNKS):]}, {IMPORTS},
+tot as (select project_id, count(*) as total_files, cast(sum(lines) as bigint) as total_lines, cast(sum(size_bytes) as bigint) as total_size_bytes, cast(sum(symbols) as bigint) as total_symbols, max(symbols) as most_symbols from measures group by project_id),
+tst as (select project_id, count(*) filter ({IS_TEST}) as test_files, count(*) filter (not {IS_TEST}) as source_files from files_v group by project_id),
+lab as (select *, case when source_files = 0 then 'None detected' when test_files * 100.0 / source_files >= 80 then 'Strong' when test_files * 100.0 / source_files >= 50 then 'Good' when test_files * 100.0 / source_files >= 25 then 'Moderate' when test_files > 0 then 'Low' else 'None detected' end as test_label from tst),
+adirs as (select project_id, list(distinct x) as dirs from (select project_id, unnest(list_transform(string_split(rel_path, '/')[:-2], lambda s: lower(s))) as x from files_v) group by project_id),
+amarks as (select project_id, list(distinct rel_path) as marks from files_v group by project_id),
+ascore as (select project_id, unnest({_architecture_sql()}) as s from adirs full join amarks using (project_id)),
+arch as (select project_id, first(s.pattern order by s.score desc, s.pattern desc) as pattern from ascore where s.score > 0 group by project_id),
+fw as (select project_id, string_agg(framework, ', ' order by framework) as frameworks from (select distinct project_id, v.framework from texts join (values {", ".join(f"('{m}', '{w}', '{f}')" for m, ws in fixed.FRAMEWORKS.items() for w, f in ws.items())}) v(m, w, framework) on {NAME} = m and contains(lower(text), w)) group by project_id),
+inf as (select distinct project_id, category, v.name as name from files_v join (values {", ".join(f"('{m.rstrip('/')}', '{c}', '{n}')" for m, c, n in fixed.INFRASTRUCTURE)}) v(m, category, name) on rel_path = m or starts_with(rel_path, m || '/')),
+ci as (select project_id, string_agg(name, ', ' order by name) as ci_cd from inf where category = 'ci_cd' group by project_id),
+co as (select project_id, string_agg(name, ', ' order by name) as containers from inf where category = 'containerization' group by project_id),
+ne as (select project_id, rel_path, v.priority as p from texts join (values {", ".join(f"('{n}', {k})" for k, (n, _) in enumerate(fixed.ENTRY_POINTS))}) v(name, priority) on v.name = {NAME}),
+ae as (select * from ne union all select project_id, rel_path, {len(fixed.ENTRY_POINTS)} from texts t anti join ne using (project_id, rel_path) where ends_with(rel_path, '.py') and contains(text, '__name__') and contains(text, '__main__')),
+re as (select *, row_number() over (partition by project_id order by p, rel_path) as r from ae),
+en as (select project_id, string_agg(rel_path, ', ' order by r) as entries, string_agg(rel_path, ', ' order by r) filter (r <= 3) as first_entries from re where r <= {fixed.REPORT_ENTRIES} group by project_id),
+fi as (select project_id, target_path, row_number() over (partition by project_id order by count(*) desc, target_path) as r from imports_v where target_path is not null group by project_id, target_path qualify r <= 10),
+tc as (select project_id, string_agg(target_path, ', ' order by r) as top_connected from fi group by project_id),
+le as (select project_id, ext, row_number() over (partition by project_id order by count(*) desc, ext) as r from files_v where ext <> '' group by project_id, ext qualify r <= 20),
+la as (select project_id, string_agg(ext, ', ' order by r) as languages from le group by project_id),
+report as (select * from tot left join lab using (project_id) left join arch using (project_id) left join fw using (project_id) left join ci using (project_id) left join co using (project_id) left join en using (project_id) left join tc using (project_id) left join la using (project_id))"""
+
+
 @query(
-    f"""with {MEASURES},
-t as (select project_id, count(*) as n, cast(sum(lines) as bigint) as ls, max(symbols) as most from measures group by project_id),
-c as (select project_id, count(*) filter ({IS_TEST}) as tests, count(*) filter (not {IS_TEST}) as sources from files_v group by project_id)
+    X.sql(
+        f"""with {REPORT}
 select project_id, unnest(list_filter([
-  case when n < 10 then 'Small project with ' || n || ' files' when n < 50 then 'Medium-sized project: ' || n || ' files' when n < 200 then 'Substantial project: ' || n || ' files' else 'Large codebase: ' || n || ' files' end,
-  case when tests > 0 then 'Test coverage: ' || case when sources = 0 then 'None detected' when tests * 100.0 / sources >= 80 then 'Strong' when tests * 100.0 / sources >= 50 then 'Good' when tests * 100.0 / sources >= 25 then 'Moderate' else 'Low' end else 'No test files detected' end,
-  case when ls // n > 300 then 'Average file length is ' || (ls // n) || ' lines' when ls > 0 then 'Clean file sizes averaging ' || (ls // n) || ' lines per file' end,
-  case when most > 20 then 'Most complex file has ' || most || ' symbols' end], lambda x: x is not null)) as insight from t join c using (project_id)"""
+  case when total_files < 10 then 'Small project with ' || total_files || ' files' when total_files < 50 then 'Medium-sized project: ' || total_files || ' files' when total_files < 200 then 'Substantial project: ' || total_files || ' files' else 'Large codebase: ' || total_files || ' files' end,
+  'Architecture: ' || pattern, 'Tech stack: ' || frameworks,
+  case when test_files > 0 then 'Test coverage: ' || test_label else 'No test files detected' end,
+  'CI/CD: ' || ci_cd, 'Containerized with ' || containers, 'Entry points: ' || first_entries,
+  case when total_lines // total_files > 300 then 'Average file length is ' || (total_lines // total_files) || ' lines' when total_lines > 0 then 'Clean file sizes averaging ' || (total_lines // total_files) || ' lines per file' end,
+  case when most_symbols > 20 then 'Most complex file has ' || most_symbols || ' symbols' end], lambda x: x is not null)) as insight from report"""
+    )
 )
 def insights(spark, folder):
+    """P36, every sentence."""
+    return A.insights(_report(spark, folder))
+
+
+def _report(spark, folder):
     from .report import project_rows
 
-    rows = project_rows(spark, folder)
-    none = F.array().cast("array<string>")
-    plain = rows.withColumn("pattern", F.lit(None).cast("string"))
-    for c in ("frameworks", "ci_cd", "containers", "entries"):
-        plain = plain.withColumn(c, none)  # these sentences have queries of their own
-    return A.insights(plain)
+    files, chunks = X.with_files(valid_files(spark, folder)), X.with_chunks(valid_chunks(spark, folder))
+    return project_rows(files, chunks, valid_symbols(spark, folder), valid_imports(spark, folder), X.with_texts(texts(spark, folder)))
+
+
+LISTS = ("frameworks", "ci_cd", "containers", "entries", "top_connected", "languages")
 
 
-@query(None)
+@query(
+    X.sql(
+        f"with {REPORT} select project_id, total_files, total_lines, total_size_bytes, total_symbols, most_symbols, test_files, source_files, test_label, pattern, "
+        + ", ".join(f"coalesce({c}, '') as {c}" for c in LISTS) + " from report"
+    )
+)
 def project_report(spark, folder):
     """The report of every project in one row."""
-    from .report import project_rows
+    return _report(spark, folder).select(
+        "project_id", "total_files", "total_lines", "total_size_bytes", "total_symbols", "most_symbols", "test_files", "source_files", "test_label", "pattern",
+        *(F.array_join(c, ", ").alias(c) for c in LISTS),
+    )
+
 
-    return project_rows(spark, folder)
+@query(
+    f"with {IMPORTS}, {SYMBOLS}, t as (select project_id, target_path, count(*) as imported_by, row_number() over (partition by project_id order by count(*) desc, target_path) as rank from imports_v where target_path is not null group by project_id, target_path qualify rank <= 10), "
+    "n as (select distinct s.project_id, s.rel_path as target_path, s.name, s.line from symbols_v s join t on s.project_id = t.project_id and s.rel_path = t.target_path), "
+    "r as (select *, row_number() over (partition by project_id, target_path order by line nulls first, name) as o from n qualify o <= 8), "
+    "g as (select project_id, target_path, string_agg(name, ', ' order by o) as symbols from r group by all) "
+    "select project_id, target_path, imported_by, rank, coalesce(symbols, '') as symbols from t left join g using (project_id, target_path)"
+)
+def connected_symbols(spark, folder):
+    """The most imported files with their first eight symbols."""
+    rows = A.connected_symbols(A.fan_in(valid_imports(spark, folder)), valid_symbols(spark, folder))
+    return rows.withColumn("symbols", F.array_join("symbols", ", "))

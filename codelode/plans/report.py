@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from codelode.functions import fixed
 from codelode.operators import analytics as A
 from codelode.operators import code as C
 from codelode.operators import manifests as N
-from codelode.sources.tables import file_texts, table, valid_chunks, valid_files, valid_imports, valid_symbols
 
 
 def _listed(rows: DataFrame, column: str, name: str, order: str | None = None) -> DataFrame:
-    """Values of a project as one array; these are lists with a fixed length at most."""
+    """Values of a project as one array: of the fixed lists of the report, or cut to a number by rank before."""
     item = F.struct(F.col(order or column).alias("o"), F.col(column).alias("v"))
     return rows.groupBy("project_id").agg(F.transform(F.array_sort(F.collect_set(item)), lambda x: x["v"]).alias(name))
 
 
-def project_rows(spark: SparkSession, folder: str) -> DataFrame:
-    files, chunks, symbols, imports = (f(spark, folder) for f in (valid_files, valid_chunks, valid_symbols, valid_imports))
-    texts = file_texts(table(spark, folder, "chunks"))
+def project_rows(files: DataFrame, chunks: DataFrame, symbols: DataFrame, imports: DataFrame, texts: DataFrame) -> DataFrame:
     measures = A.file_measures(files, chunks, symbols)
     most = measures.groupBy("project_id").agg(F.max("symbols").alias("most_symbols"))
     arch = A.architectures(files).groupBy("project_id").agg(F.max_by("pattern", F.struct("score", "pattern")).alias("pattern"))
     infra = A.infrastructure(files)
-    entries = C.entry_points(texts).withColumn("o", F.concat(F.lpad(F.col("priority").cast("string"), 2, "0"), F.lit(" "), "rel_path"))
+    place = F.row_number().over(W.partitionBy("project_id").orderBy("priority", "rel_path"))
+    entries = C.entry_points(texts).withColumn("o", place).where(F.col("o") <= fixed.REPORT_ENTRIES)
     rows = A.totals(measures).join(most, "project_id", "left").join(A.test_counts(files).withColumnRenamed("label", "test_label"), "project_id", "left").join(arch, "project_id", "left")
     for part in (
         _listed(N.framework_hints(texts), "framework", "frameworks"),

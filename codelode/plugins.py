@@ -62,6 +62,55 @@ def json_from_text(text: str):
     return None
 
 
+#: what a model is asked for, by field
+MODULE_SCHEMA = {"purpose": "string", "key_patterns": "array", "domain_concepts": "array", "key_abstractions": "array"}
+PROJECT_SCHEMA = {"purpose": "string", "architecture": "string", "key_patterns": "array", "domain": "string", "data_flow": "string", "tech_decisions": "string"}
+ANSWER_SCHEMA = {"answer": "string", "citations": "array", "relevant_files": "array", "confidence": "string", "follow_up": "array", "needs_more_context": "boolean", "additional_files": "array"}
+
+
+def structured(model: LanguageModel, system: str, user: str, schema: dict, max_tokens: int) -> dict:
+    """The fields of a schema as the model fills them, of their kinds; where it gives no object, its plain text is the first field."""
+    said = with_retry(lambda: model.complete(system, user, schema, max_tokens)) or ""
+    got = json_from_text(said)
+    if not isinstance(got, dict):
+        got = {next(iter(schema)): said}
+    if not any(got.get(k) for k in schema):
+        got = {next(iter(schema)): with_retry(lambda: model.complete(system, user, None, max_tokens)) or ""}
+    listed = lambda v: [str(x) for x in v] if isinstance(v, list) else []
+    return {k: listed(got.get(k)) if kind == "array" else str(got.get(k) or "") for k, kind in schema.items()}
+
+
+@dataclass
+class Answer:
+    """A model's answer with the places it cites; anything that isn't of this form is plain text."""
+
+    answer: str
+    citations: list[dict] = field(default_factory=list)
+    relevant_files: list[str] = field(default_factory=list)
+    confidence: str = "medium"
+    follow_up: list[str] = field(default_factory=list)
+    needs_more_context: bool = False
+    additional_files: list[str] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, text: str | None, confidence: str = "medium") -> Answer:
+        got = json_from_text(text or "")
+        if not isinstance(got, dict) or "answer" not in got:
+            return cls(text or "", confidence=confidence)
+        texts = lambda k: [str(x) for x in got.get(k) or [] if isinstance(x, str)]
+        sure = got.get("confidence") if got.get("confidence") in ("high", "medium", "low") else confidence
+        cited = [c for c in map(citation, got.get("citations") or []) if c]
+        return cls(str(got["answer"] or ""), cited, texts("relevant_files"), sure, texts("follow_up"), bool(got.get("needs_more_context")), texts("additional_files"))
+
+
+def citation(given) -> dict | None:
+    """file and start_line are needed; end_line may be missing, symbol and snippet are empty where they are."""
+    if not isinstance(given, dict) or not isinstance(given.get("file"), str) or not isinstance(given.get("start_line"), int):
+        return None
+    end = given.get("end_line")
+    return {"file": given["file"], "start_line": given["start_line"], "end_line": end if isinstance(end, int) else None, "symbol": str(given.get("symbol") or ""), "snippet": str(given.get("snippet") or "")}
+
+
 @dataclass
 class StreamEvent:
     """R06."""

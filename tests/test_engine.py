@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -22,7 +23,9 @@ def test_index(indexed):
     assert engine.list_projects().count() == 1 and engine.enrichment_status() == "complete"
     paths = [r["rel_path"] for r in engine.list_project_files().collect()]
     assert paths == sorted(paths) and "app/store.py" in paths and "bin.py" not in paths
-    assert engine.get_file_content("app/store.py") == FILES["app/store.py"] and engine.get_file_content("none") is None
+    got = engine.get_file_content("app/store.py")
+    assert got["content"] == FILES["app/store.py"] and got["line_count"] == FILES["app/store.py"].count("\n") + 1 and "Store" in got["symbols"] and got["extension"] == ".py" and got["chunks_count"] > 0 and got["keywords"]
+    assert engine.get_file_content("none")["available_files"] == paths[:20]
     with pytest.raises(LookupError):
         engine.list_project_files("unknown")
 
@@ -46,8 +49,11 @@ def test_reports(indexed):
     assert {x["name"] for x in r["infrastructure"]} >= {"Docker", "GitHub Actions"} and r["tests"]["test_files"] == 2 and r["tests"]["frameworks"] == ["jest", "pytest"]
     assert any(d["name"] == "flask" for d in r["external_dependencies"]) and r["entry_points"][0]["rel_path"].endswith("main.py") and len(r["insights"]) >= 5
     assert r["top_connected_files"][0]["target_path"] in ("app/store.py", "web/util.ts", "app/models/order.py")
-    assert engine.query_categories("test").count() >= 2 and engine.query_imports("src/main.py")["internal"] == 1
-    assert engine.project_overview()["modules"]
+    assert engine.query_categories("test")["rows"].count() >= 2 and engine.query_categories()["categories"]["test"]["files"] >= 1 and engine.query_imports("src/main.py")["internal"] == 1
+    assert engine.project_overview()["modules"] and engine.project_overview()["summary"]["purpose"]
+    assert {"category": "ci_cd_detail", "name": "1 workflow(s)"} in r["infrastructure"]
+    top = {x["target_path"]: x["symbols"] for x in r["top_connected_files"]}
+    assert top["app/store.py"][0] == "Store" and all(len(v) <= 8 for v in top.values())
 
 
 def test_questions_and_sessions(indexed):
@@ -60,6 +66,71 @@ def test_questions_and_sessions(indexed):
     assert engine.folder_files(["APP"], engine.resolve()) == ["app/store.py", "app/models/order.py"]
 
 
+def test_searches_read_the_stored_index(indexed):
+    engine = indexed[0]
+    scores, *_ = engine._scores("how does Store save a key", engine.resolve())
+    plan = scores._jdf.queryExecution().optimizedPlan().toString() + scores._jdf.queryExecution().executedPlan().toString()
+    assert "/texts/" not in plan and "text#" not in plan and "keyword_files" in plan and "PushedFilters: [In(keyword" in plan
+
+
+class Scripted:
+    """A model that answers by what it is asked for."""
+
+    def __init__(self, *answers):
+        self.answers, self.asked = list(answers), []
+
+    def complete(self, system, user, schema=None, max_tokens=2048):
+        self.asked.append(user)
+        if schema and "target_files" in schema:
+            return json.dumps({"needs_code": True, "target_files": ["app/store.py"], "target_folders": []})
+        if schema and "order" in schema:
+            return json.dumps({"order": [1, 0]})
+        return self.answers.pop(0)
+
+    def stream(self, system, user):
+        yield from ('{"answer": "It saves', ' [1]", "citations": [{"file": "app/store.py", "start_line": 4}]}')
+
+
+def test_answers_with_citations(indexed):
+    engine = indexed[0]
+    first = {"answer": "more", "citations": [], "needs_more_context": True, "additional_files": ["src/main.py"]}
+    second = {"answer": "It saves [1]", "citations": [{"file": "app/store.py", "start_line": 4, "end_line": 9, "symbol": "Store"}, {"file": "x"}], "relevant_files": ["src/main.py"], "confidence": "high", "follow_up": ["How?"]}
+    model, engine.model = engine.model, Scripted(json.dumps(first), json.dumps(second))
+    try:
+        a = engine.answer("how does the store save")
+        assert a["answer"] == "It saves [1]" and a["confidence"] == "high" and a["follow_up"] == ["How?"] and a["relevant_files"] == ["app/store.py", "src/main.py"]
+        assert a["citations"] == [{"file": "app/store.py", "start_line": 4, "end_line": 9, "symbol": "Store", "snippet": ""}]
+        assert "=== FILE: src/main.py" in engine.model.asked[-1]
+        events = list(engine.stream_answer("how does the store save", session="streamed"))
+        assert [e.type for e in events] == ["chunk", "chunk", "done"] and events[-1].content == "It saves [1]" and events[-1].metadata["chunks"] == 2
+        assert events[-1].metadata["citations"][0]["end_line"] is None and engine.session_history("streamed")[0]["answer"] == "It saves [1]"
+        plain = engine.retrieve_context("how does Store save a key")["context"]
+        ordered = engine.retrieve_reranked("how does Store save a key")["context"]
+        assert ordered.split("\n")[0] != plain.split("\n")[0] and len(ordered) < 26_000 and "[Symbol `Store` defined in" in ordered
+    finally:
+        engine.model = model
+    whole = list(engine.stream_answer("where is the store loaded"))
+    assert [e.type for e in whole] == ["chunk", "done"] and whole[-1].metadata["confidence"] in ("high", "medium", "low")
+
+
+def test_summaries_have_their_parts(spark, indexed, tmp_path):
+    _, root, _ = indexed
+
+    class Summing:
+        def complete(self, system, user, schema=None, max_tokens=2048):
+            if "Module " in user[:7]:
+                return json.dumps({"purpose": "keeps orders", "key_patterns": ["repository"], "domain_concepts": ["order"], "key_abstractions": ["Store"]})
+            assert "Module dependencies:" in user and "Total files:" in user and "README:" in user
+            return json.dumps({"purpose": "a shop", "architecture": "layers", "key_patterns": ["repository"]})
+
+    engine = Engine(spark, f"file://{tmp_path}/store", model=Summing())
+    engine.index_project(str(root), background=True)
+    engine.enriching.join(120)
+    over = engine.project_overview()
+    assert engine.enrichment_status() == "complete" and over["summary"]["architecture"] == "layers" and json.loads(over["summary"]["key_patterns"]) == ["repository"]
+    assert over["modules"][0]["key_abstractions"] == ["Store"] and "=== MODULES ===" in engine.summary_context()
+
+
 def test_update_and_delete(spark, indexed, tmp_path):
     _, root, _ = indexed
     engine = Engine(spark, f"file://{tmp_path}/store", embedder=HashingEmbedder(16))

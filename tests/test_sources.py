@@ -4,7 +4,7 @@ import pytest
 from codelode.operators.catalog import latest, resolve, without
 from codelode.sources.store import Store, decoded_value, legacy_rows
 from codelode.sources.tree import decoded, inside, list_tree, read_texts
-from codelode.streaming.watch import Watchers
+from codelode.streaming.watch import Watchers, _Changes
 from fixture_code import FILES, write
 
 
@@ -39,8 +39,12 @@ def test_paths(tmp_path):
     assert inside(str(tmp_path / "a"), str(tmp_path)) and not inside("/etc", str(tmp_path)) and not inside(str(tmp_path) + "x", str(tmp_path))
 
 
+def folders(tmp_path, table="keyword_files", project="p_1"):
+    return [d for d in os.listdir(tmp_path / f"store/{table}/project_id={project}") if d.startswith("v-")]
+
+
 def test_store(spark, tmp_path):
-    s = Store(spark, f"file://{tmp_path}/store")
+    s = Store(spark, f"file://{tmp_path}/store", grace=0)
     rows = spark.createDataFrame([("k", "a.py"), ("k2", "b.py")], "keyword string, rel_path string")
     s.write("keyword_files", "p_1", rows)
     s.write("keyword_files", "p_2", rows.limit(1))
@@ -49,11 +53,72 @@ def test_store(spark, tmp_path):
     assert s.get("keyword_files", "p_1").count() == 1
     s.append("keyword_files", "p_1", rows)
     assert s.get("keyword_files", "p_1").count() == 3
-    assert len([d for d in os.listdir(tmp_path / "store/keyword_files/project_id=p_1") if d.startswith("v-")]) == 1
+    assert len(folders(tmp_path)) == 2  # the version before is gone once the time of grace is over
     assert s.delete("p_1") and not s.delete("p_1") and s.get("keyword_files", "p_1").count() == 0
     assert s.projects().count() == 0
 
 
+def test_a_reader_keeps_its_version(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    rows = spark.createDataFrame([("k", "a.py"), ("k2", "b.py")], "keyword string, rel_path string")
+    s.write("keyword_files", "p_1", rows)
+    before = s.get("keyword_files", "p_1")  # a plan, not run yet
+    for n in (1, 0):
+        s.write("keyword_files", "p_1", rows.limit(n))
+    assert before.count() == 2 and s.get("keyword_files", "p_1").count() == 0
+
+
+def test_a_crash_between_steps_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    s = Store(spark, f"file://{tmp_path}/store", grace=0)
+    rows = spark.createDataFrame([("k", "a.py")], "keyword string, rel_path string")
+    other = spark.createDataFrame([("q", "said")], "key string, value string")
+    s.publish("p_1", {"keyword_files": rows, "semantic_summary": other})
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # staged, not published
+        m.setattr(Store, "_commit", crash)
+        with pytest.raises(RuntimeError):
+            s.publish("p_1", {"keyword_files": rows.limit(0), "semantic_summary": other.limit(0)})
+    assert s.get("keyword_files", "p_1").count() == 1 and s.get("semantic_summary", "p_1").count() == 1
+    (tmp_path / "store/manifests/project_id=p_1/000000000002.json").write_text('{"keyword_fi')  # half written
+    assert s.get("keyword_files", "p_1").count() == 1
+    s.write("keyword_files", "p_1", rows.union(rows))
+    assert s.get("keyword_files", "p_1").count() == 2 and s.get("semantic_summary", "p_1").count() == 1
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    a, b = (Store(spark, f"file://{tmp_path}/store") for _ in range(2))
+    rows = spark.createDataFrame([("k", "a.py")], "keyword string, rel_path string")
+    said = spark.createDataFrame([("q", "said")], "key string, value string")
+    once, numbers = [], Store._numbers
+
+    def raced(self, project):
+        found = numbers(self, project)
+        if self is a and not once:
+            once.append(1)
+            b.write("semantic_summary", project, said)  # between a's look at the numbers and its own manifest
+        return found
+
+    Store._numbers = raced
+    try:
+        a.append("keyword_files", "p_1", rows)
+    finally:
+        Store._numbers = numbers
+    assert a.get("keyword_files", "p_1").count() == 1 and a.get("semantic_summary", "p_1").count() == 1
+
+
+def test_growing_tables_are_folded(spark, tmp_path, monkeypatch):
+    from codelode.sources import store
+
+    monkeypatch.setattr(store, "FOLD", 3)
+    s = Store(spark, f"file://{tmp_path}/store", grace=0)
+    for k in range(7):
+        s.append("semantic_summary", "p_1", spark.createDataFrame([(str(k), "v")], "key string, value string"))
+    assert s.get("semantic_summary", "p_1").count() == 7 and len(s.tables("p_1")["semantic_summary"]) <= 3
+
+
 def test_values_and_legacy(spark, tmp_path):
     assert decoded_value('{"a": 1}') == {"a": 1} and decoded_value("plain") == "plain" and decoded_value(None) is None
     at = tmp_path / "old.json"
@@ -82,5 +147,9 @@ def test_changes_as_a_stream(spark, tree, tmp_path):
     (tree / "new.py").write_text("x = 1\n")
     once()
     assert set(seen) == {("upsert", "app/store.py"), ("delete", "views/b.py"), ("upsert", "new.py")}
+    (snapshots,) = (tmp_path / "state").glob("*/snapshots")
+    reader = _Changes(str(tree), str(snapshots))
+    again = [list(reader.readBetweenOffsets({"version": 1}, {"version": 2})) for _ in range(2)]
+    assert again[0] == again[1] and {(op, p) for p, op, _ in again[0]} == set(seen)  # a batch asked for again is the same
     once()
     assert seen == [] and w.active() == [] and w.stop(str(tree)) and not w.stop(str(tree))
