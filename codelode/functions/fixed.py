@@ -175,14 +175,14 @@ LANGUAGES = {
 
 # Architecture: name, description, folders, marker files (fixed values).
 ARCHITECTURES = (
-    ("MVC (Model-View-Controller)", "Separates data (models), UI (views), and logic (controllers)", ("controllers", "models", "views"), ()),
-    ("Layered Architecture", "Organized in layers: presentation → business logic → data access", ("services", "repositories", "controllers"), ()),
-    ("Clean Architecture", "Domain-centric with dependency inversion between layers", ("domain", "usecases", "adapters", "entities"), ()),
-    ("Hexagonal (Ports & Adapters)", "Core domain isolated from external integrations via ports", ("ports", "adapters", "domain"), ()),
-    ("Modular / Feature-based", "Code organized by feature/domain module rather than technical layer", ("modules", "features", "packages"), ()),
-    ("Microservices / Multi-service", "Multiple independently deployable services", ("gateway", "services", "proto"), ("docker-compose.yml", "docker-compose.yaml", "Dockerfile")),
-    ("Monorepo", "Multiple projects/packages managed in a single repository", ("packages", "apps", "libs"), ("lerna.json", "pnpm-workspace.yaml", "turbo.json", "nx.json")),
-    ("Serverless", "Cloud functions / event-driven serverless architecture", ("functions", "lambdas"), ("serverless.yml", "serverless.yaml", "template.yaml", "sam.yaml")),
+    ("MVC (Model-View-Controller)", ("controllers", "models", "views"), ()),
+    ("Layered Architecture", ("services", "repositories", "controllers"), ()),
+    ("Clean Architecture", ("domain", "usecases", "adapters", "entities"), ()),
+    ("Hexagonal (Ports & Adapters)", ("ports", "adapters", "domain"), ()),
+    ("Modular / Feature-based", ("modules", "features", "packages"), ()),
+    ("Microservices / Multi-service", ("gateway", "services", "proto"), ("docker-compose.yml", "docker-compose.yaml", "Dockerfile")),
+    ("Monorepo", ("packages", "apps", "libs"), ("lerna.json", "pnpm-workspace.yaml", "turbo.json", "nx.json")),
+    ("Serverless", ("functions", "lambdas"), ("serverless.yml", "serverless.yaml", "template.yaml", "sam.yaml")),
 )
 
 # Entry points by file name, in order (fixed values).
@@ -305,3 +305,24 @@ CATEGORY_WORDS = (
     ("middleware", "middleware"),
 )
 GENERIC_SYMBOLS = ("Ok", "BadRequest", "NotFound", "NoContent", "Unauthorized", "CreatedAtAction", "ArgumentNullException")
+
+# Addresses of repositories: with host, and the short form (fixed values).
+REPOSITORY = r"^(?:https?://)?(?:www\.)?{host}/([a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+?)(?:\.git)?/?$"
+SHORT_REPOSITORY = r"^([a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+)$"
+
+# Patterns of dependency manifests, and keys of a Cargo manifest that are no crates (fixed values).
+REQUIREMENT_END = r"[>=<!\[]"
+PYPROJECT_LIST = r"(?s)dependencies\s*=\s*\[(.*?)\]"
+GO_MODULE = r"(?m)^\s+([\w./\-]+)\s+v"
+CARGO_KEY = r"(?m)^(\w[\w-]*)\s*="
+CARGO_OTHER = ("name", "version", "edition", "authors", "description", "license", "repository")
+GEM = r"""gem\s+['"]([^'"]+)['"]"""
+
+# Text in a fenced block (fixed value).
+FENCED = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
+
+# Least shares of test files, in percent, with their labels (fixed values).
+RATIO_LABELS = ((80, "Strong"), (50, "Good"), (25, "Moderate"))
+
+# Confidence: least ratio of the best score alone, or with so many ranked files (fixed values).
+HIGH_RATIO, HIGH_RATIO_OF_THREE, MEDIUM_RATIO = 0.15, 0.08, 0.05

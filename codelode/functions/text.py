@@ -170,7 +170,10 @@ def is_test_file(path: Column) -> Column:
 
 def ratio_label(ratio: Column) -> Column:
     """P30."""
-    return F.when(ratio >= 80, "Strong").when(ratio >= 50, "Good").when(ratio >= 25, "Moderate").when(ratio > 0, "Low").otherwise("None detected")
+    named = F
+    for least, label in fixed.RATIO_LABELS:
+        named = named.when(ratio >= least, label)
+    return named.when(ratio > 0, "Low").otherwise("None detected")
 
 
 def language(ext: Column) -> Column:
@@ -183,8 +186,8 @@ def language(ext: Column) -> Column:
 def repository(url: Column, host: str = r"github\.com") -> Column:
     """owner/repo of an address of that host with or without scheme, www, .git and slash, or of a shorthand; else null."""
     bare = F.trim(url)
-    full = F.regexp_extract(bare, rf"^(?:https?://)?(?:www\.)?{host}/([a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+?)(?:\.git)?/?$", 1)
-    short = F.regexp_extract(bare, r"^([a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+)$", 1)
+    full = F.regexp_extract(bare, fixed.REPOSITORY.replace("{host}", host), 1)
+    short = F.regexp_extract(bare, fixed.SHORT_REPOSITORY, 1)
     return F.coalesce(F.nullif(full, F.lit("")), F.nullif(short, F.lit("")))
 
 
@@ -206,14 +209,14 @@ def replacement_share(text: Column) -> Column:
 
 def fenced(text: Column) -> Column:
     """P19, second way: what stands in the first fenced block."""
-    return F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
+    return F.regexp_extract(text, fixed.FENCED, 1)
 
 
 def confidence(hits: Column, ranked: Column, ratio: Column) -> Column:
     """P31."""
     return (
         F.when((hits > 0) & (ranked >= 1), "high")
-        .when((ratio >= 0.15) | ((ranked >= 3) & (ratio >= 0.08)), "high")
-        .when((ratio >= 0.05) | (ranked >= 2), "medium")
+        .when((ratio >= fixed.HIGH_RATIO) | ((ranked >= 3) & (ratio >= fixed.HIGH_RATIO_OF_THREE)), "high")
+        .when((ratio >= fixed.MEDIUM_RATIO) | (ranked >= 2), "medium")
         .otherwise("low")
     )

@@ -77,14 +77,14 @@ def architectures(files: DataFrame, listing: DataFrame | None = None) -> DataFra
     """(project_id, pattern, score, confidence): matching folders and two points for each marker file."""
     listing = files if listing is None else listing
     dirs = files.select("project_id", F.explode(folders(F.col("rel_path"))).alias("dir"))
-    wanted = sorted({d for _, _, ds, _ in fixed.ARCHITECTURES for d in ds})
+    wanted = sorted({d for _, ds, _ in fixed.ARCHITECTURES for d in ds})
     have = dirs.where(F.col("dir").isin(*wanted)).groupBy("project_id").agg(F.collect_set("dir").alias("dirs"))
     names = sorted({m for *_, ms in fixed.ARCHITECTURES for m in ms})
     marks = listing.where(F.col("rel_path").isin(*names)).groupBy("project_id").agg(F.collect_set("rel_path").alias("marks"))
     both = have.join(marks, "project_id", "full")
     none = F.array().cast("array<string>")
     scores = []
-    for name, _, ds, ms in fixed.ARCHITECTURES:
+    for name, ds, ms in fixed.ARCHITECTURES:
         n = F.size(F.array_intersect(F.coalesce("dirs", none), F.array(*map(F.lit, ds)))) if ds else F.lit(0)
         s = F.when((n >= 2) | (F.lit(len(ds) <= 2) & (n >= 1)), n).otherwise(F.lit(0))
         if ms:

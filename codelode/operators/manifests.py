@@ -23,21 +23,21 @@ def framework_hints(manifests: DataFrame) -> DataFrame:
 def dependencies(manifests: DataFrame) -> DataFrame:
     """(project_id, manager, name, development). pyproject counts only without requirements.txt."""
     name, text = file_name(F.col("rel_path")), F.col("text")
-    bare = lambda x: F.trim(F.element_at(F.split(x, r"[>=<!\[]"), 1))
+    bare = lambda x: F.trim(F.element_at(F.split(x, fixed.REQUIREMENT_END), 1))
     lines = F.transform(F.split(F.trim(text), "\n"), lambda x: F.trim(F.replace(x, F.lit("\r"), F.lit(""))))
     pip = F.transform(F.filter(lines, lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("-")), bare)
-    quoted = F.regexp_extract_all(F.regexp_extract(text, r"(?s)dependencies\s*=\s*\[(.*?)\]", 1), F.lit('"([^"]+)"'), F.lit(1))
+    quoted = F.regexp_extract_all(F.regexp_extract(text, fixed.PYPROJECT_LIST, 1), F.lit('"([^"]+)"'), F.lit(1))
     keys = lambda field: F.coalesce(F.json_object_keys(F.get_json_object(text, f"$.{field}")), F.array().cast("array<string>"))
-    skip = F.array(*map(F.lit, ("name", "version", "edition", "authors", "description", "license", "repository")))
-    crates = F.filter(F.regexp_extract_all(text, F.lit(r"(?m)^(\w[\w-]*)\s*="), F.lit(1)), lambda x: ~F.array_contains(skip, x))
+    skip = F.array(*map(F.lit, fixed.CARGO_OTHER))
+    crates = F.filter(F.regexp_extract_all(text, F.lit(fixed.CARGO_KEY), F.lit(1)), lambda x: ~F.array_contains(skip, x))
     named = lambda manager, names, dev=False: F.transform(names, lambda x: F.struct(F.lit(manager).alias("manager"), x.alias("name"), F.lit(dev).alias("development")))
     found = (
         F.when(name == "package.json", F.concat(named("npm", keys("dependencies")), named("npm", keys("devDependencies"), True)))
         .when(name == "requirements.txt", named("pip", pip))
         .when(name == "pyproject.toml", named("pyproject", F.transform(quoted, bare)))
-        .when(name == "go.mod", named("go", F.regexp_extract_all(text, F.lit(r"(?m)^\s+([\w./\-]+)\s+v"), F.lit(1))))
+        .when(name == "go.mod", named("go", F.regexp_extract_all(text, F.lit(fixed.GO_MODULE), F.lit(1))))
         .when(name == "Cargo.toml", named("cargo", crates))
-        .when(name == "Gemfile", named("bundler", F.regexp_extract_all(text, F.lit(r"""gem\s+['"]([^'"]+)['"]"""), F.lit(1))))
+        .when(name == "Gemfile", named("bundler", F.regexp_extract_all(text, F.lit(fixed.GEM), F.lit(1))))
     )
     rows = manifests.select("project_id", F.explode(found).alias("d")).select("project_id", "d.manager", "d.name", "d.development").where("name <> ''")
     pip_projects = rows.where("manager = 'pip'").select("project_id").distinct()

@@ -378,7 +378,7 @@ def test_frameworks(spark, folder):
 
 def _architecture_sql() -> str:
     rows = []
-    for name, _, ds, ms in fixed.ARCHITECTURES:
+    for name, ds, ms in fixed.ARCHITECTURES:
         n = f"len(list_intersect(coalesce(dirs, []), [{listed(ds)}]))"
         s = f"case when {n} >= 2 or ({'true' if len(ds) <= 2 else 'false'} and {n} >= 1) then {n} else 0 end"
         if ms:

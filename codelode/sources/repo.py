@@ -6,14 +6,13 @@ import re
 import subprocess
 from pathlib import Path
 
+from codelode.functions import fixed
+
 
 def parse(url: str, host: str = r"github\.com") -> str | None:
     """P18 for one address."""
-    url = url.strip()
-    full = re.match(rf"^(?:https?://)?(?:www\.)?{host}/([a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+?)(?:\.git)?/?$", url)
-    if full:
-        return full[1]
-    return url if re.fullmatch(r"[a-zA-Z0-9_.-]+/[a-zA-Z0-9_.-]+", url) else None
+    patterns = (fixed.REPOSITORY.replace("{host}", host), fixed.SHORT_REPOSITORY)
+    return next((m[1] for p in patterns if (m := re.match(p, url.strip()))), None)
 
 
 def fetch(url: str, into: str, host: str = "github.com", clone_seconds: int = 300, pull_seconds: int = 120) -> Path:
