@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,16 +25,37 @@ _LOCAL: dict[str, str] = {}  # folders of sessions without the setting, by appli
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that setting is absent (tests)."""
+    """A fresh folder below spark.checkpoint.dir; a local one only where that setting is absent and Spark runs in one process.
+
+    On a cluster without the setting every machine would write to a folder of its own, so that raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         key = spark.sparkContext.applicationId
         if key not in _LOCAL:
             at = tempfile.mkdtemp(prefix="codelode-")
             atexit.register(shutil.rmtree, at, ignore_errors=True)
             _LOCAL[key] = f"file://{at}"
         base = _LOCAL[key]
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_WRITTEN: dict[str, list[str]] = {}  # folders handed out, by application
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete what the operators wrote to the shared folder in this session; for when their results have been used or written.
+
+    What comes out of an operator may read these folders lazily, so nothing is deleted before. The number of folders comes out.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        removed(spark, path)
+    return len(paths)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

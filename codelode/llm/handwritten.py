@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import file_texts, possibly_in, stored
+from .common import file_texts, most_frequent, possibly_in, stored
 
 SHINGLE, SIMILAR = 5, 0.8
 
@@ -263,6 +264,7 @@ def judged(texts: DataFrame) -> DataFrame:
     return texts.select("project_id", "rel_path", "text").mapInArrow(run, JUDGED)
 
 
+WITNESSES = 4  # known texts of a shingle that are compared first; the others where these show no copy
 ORDER_SAMPLE = 2000  # texts from which the frequent shingles are known; they only order the prefixes
 
 
@@ -271,12 +273,15 @@ def copies_of(known: DataFrame, others: DataFrame) -> DataFrame:
 
     Both: (digest, shingles), equal texts may be repeated. In an order common to both sides, two such sets share one of
     their first n - ceil(SIMILAR * n) + 1 shingles; frequent ones come last in that order, so that no hot key arises. Whole
-    sets are shuffled only for texts that are in a pair.
+    sets are shuffled only for texts that are in a pair. One known text is enough for a copy: WITNESSES of each shingle are
+    compared first, and only texts that these don't show to be copies are compared with all, so that many forms of a library
+    and many copies of it don't give all their pairs.
     """
     both = known.select("digest", "shingles").unionByName(others.select("digest", "shingles"))
     part = max(1, both.count() // ORDER_SAMPLE)
     sample = both.where(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0).select(F.explode("shingles").alias("s"))
-    frequent = [r["s"] for r in sample.groupBy("s").count().where("count >= 10").orderBy(F.desc("count"), "s").limit(20_000).collect()]
+    counted = stored(sample.groupBy("s").count().where("count >= 10"), "frequent")
+    frequent = [r["s"] for r in most_frequent(counted, "count", 20_000).collect()]
     late = both.sparkSession.sparkContext.broadcast(np.array(sorted(frequent), dtype=np.int64))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,22 +305,31 @@ def copies_of(known: DataFrame, others: DataFrame) -> DataFrame:
             )
 
     schema = "digest binary, s bigint, n int, at int"
-    a = known.select("digest", "shingles").mapInArrow(prefix, schema).distinct().toDF("da", "s", "na", "pa")
+    a = stored(known.select("digest", "shingles").mapInArrow(prefix, schema).distinct().toDF("da", "s", "na", "pa"), "known")
     b = possibly_in(others.select("digest", "shingles").mapInArrow(prefix, schema), "s", a, "s").distinct().toDF("db", "s", "nb", "pb")
+    b = stored(b, "others")
     need = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (F.col("na") + F.col("nb")) - 1e-9)
-    pairs = (
-        a.join(b, "s")
-        .where((F.col("nb") >= SIMILAR * F.col("na") - 1e-9) & (F.col("na") >= SIMILAR * F.col("nb") - 1e-9))
-        .where(1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) + F.least("pa", "pb") >= need)
-        .select("da", "db")
-        .distinct()
-    )
-    pairs = stored(pairs, "similar")
-    needed = lambda df, c: possibly_in(df.select("digest", "shingles"), "digest", pairs, c).groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    sa, sb = needed(known, "da").toDF("da", "sa"), needed(others, "db").toDF("db", "sb")
-    common = F.size(F.array_intersect("sa", "sb"))
-    jaccard = common / (F.size("sa") + F.size("sb") - common)
-    return pairs.join(sa, "da").join(sb, "db").where(jaccard >= SIMILAR - 1e-9).select(F.col("db").alias("digest")).distinct()
+
+    def similar(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = (
+            a.join(b, "s")
+            .where((F.col("nb") >= SIMILAR * F.col("na") - 1e-9) & (F.col("na") >= SIMILAR * F.col("nb") - 1e-9))
+            .where(1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) + F.least("pa", "pb") >= need)
+            .select("da", "db")
+            .distinct()
+        )
+        pairs = stored(pairs, "similar")
+        needed = lambda df, c: possibly_in(df.select("digest", "shingles"), "digest", pairs, c).groupBy("digest").agg(F.first("shingles").alias("shingles"))
+        sa, sb = needed(known, "da").toDF("da", "sa"), needed(others, "db").toDF("db", "sb")
+        common = F.size(F.array_intersect("sa", "sb"))
+        jaccard = common / (F.size("sa") + F.size("sb") - common)
+        return pairs.join(sa, "da").join(sb, "db").where(jaccard >= SIMILAR - 1e-9).select("db").distinct()
+
+    few = a.withColumn("r", F.row_number().over(W.partitionBy("s").orderBy("pa", "da"))).where(F.col("r") <= WITNESSES).drop("r")
+    shown = stored(similar(few, b), "copies")
+    many = a.groupBy("s").count().where(F.col("count") > WITNESSES).select("s")  # where the first ones were all, nothing is left
+    rest = b.join(shown, "db", "left_anti").join(many, "s", "left_semi")
+    return shown.unionByName(similar(a, rest)).select(F.col("db").alias("digest")).distinct()
 
 
 def not_handwritten(files: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -29,13 +29,19 @@ from .common import block_pairs, stored
 #: Letters of other scripts with the shape of a Latin letter (fixed values, after Unicode's confusables data).
 SAME_SHAPE = {
     "Cyrillic": (
-        "АВЕЅІЈКМНОРСТУХҮԌԚԜаеорсухіѕјһԁԛԝѵҮүӀ",
-        "ABESIJKMHOPCTYXYGQWaeopcyxisjhdqwvYyI",
+        "АВЕЅІЈКМНОРСТУХҮԌԚԜаеорсухіѕјһԁԛԝѵҮүӀӏ",
+        "ABESIJKMHOPCTYXYGQWaeopcyxisjhdqwvYyIl",
     ),
-    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳρ", "ABEZHIKMNOPTYXovcjp"),
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲϳριυ", "ABEZHIKMNOPTYXovcjpiu"),
     "Armenian": ("օոսհՍՏ", "onuhUS"),
     "Cherokee": ("ᎪᏴᏟᎬᎻᏆᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCEHIJKLMPRSTVWZ"),
+    "Coptic": ("ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "BHIKMNOPCTYXopc"),
+    "Lisu": ("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"),
 }
+#: Signs and Latin letters with the shape of another one (fixed values, after the same data).
+SAME_SIGN = {chr(0x251): "a", chr(0x261): "g", chr(0x1C0): "l", chr(0x2215): "/", chr(0x2212): "-"}
+#: Tags are invisible but behind a flag, where they say whose flag it is.
+TAGS = re.compile("(%s[%s-%s]+%s)|[%s%s-%s]+" % tuple(map(chr, (0x1F3F4, 0xE0020, 0xE007E, 0xE007F, 0xE0001, 0xE0020, 0xE007F))))
 #: Accented letters of other scripts whose base has a Latin shape are composed again after the base is exchanged.
 BLANKS = "\t" + "".join(map(chr, (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))
 LINE_ENDS = "".join(map(chr, (0x85, 0x2028, 0x2029)))
@@ -66,7 +72,7 @@ def forms() -> dict[int, str | None]:
                 table[code] = plain
     table |= {ord(c): " " for c in BLANKS} | {ord(c): "\n" for c in LINE_ENDS} | {ord(c): "-" for c in HYPHENS}
     table |= {c: None for c in range(0x20) if chr(c) not in "\t\n"} | {0x7F: None, 0x34F: None, 0x115F: None, 0x1160: None, 0x3164: None, 0xFFA0: None, 0x180E: None}
-    table |= {c: None for c in (*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))}
+    table |= {c: None for c in (*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))} | {ord(c): shape for c, shape in SAME_SIGN.items()}
     return table
 
 
@@ -90,7 +96,7 @@ def script_of(ch: str) -> str:
     if not ch.isalpha():
         return ""
     word = U.name(ch, "").split(" ")[0]
-    return {"LATIN": "Latin", "CYRILLIC": "Cyrillic", "GREEK": "Greek", "ARMENIAN": "Armenian", "CHEROKEE": "Cherokee"}.get(word, word)
+    return {"LATIN": "Latin", "CYRILLIC": "Cyrillic", "GREEK": "Greek", "ARMENIAN": "Armenian", "CHEROKEE": "Cherokee", "COPTIC": "Coptic", "LISU": "Lisu"}.get(word, word)
 
 
 @lru_cache(200_000)
@@ -137,6 +143,8 @@ def consistent(text: str | None) -> str | None:
         text = text.translate(forms())
     else:
         text = U.normalize("NFC", U.normalize("NFC", text).translate(forms()))
+        if TAGS.search(text):
+            text = TAGS.sub(lambda m: m[1] or "", text)
         if ZWNJ in text or ZWJ in text:
             text = U.normalize("NFC", JOINERS.sub(_joined, text))
         text = TOKEN.sub(lambda m: m[0] if m[0].isascii() else spelt(m[0]), text)

@@ -5,7 +5,7 @@ limit (binary search), else at the last blank line, else at the last line start,
 begins there and repeats up to overlap characters of the piece before, whole lines where that is possible.
 
 Defined results: contents within the limit, null and empty ones and suffixes without a limit have no pieces and no
-boundaries; repeated rows of a chunk count once; pieces without their repetition, joined, are the content.
+boundaries; of repeated rows of a chunk the latest is cut; pieces without their repetition, joined, are the content.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.sources.tables import keep_last
+
 from .boundaries import boundaries
 from .common import suffix
 
@@ -51,7 +53,7 @@ def cut(text: str, marks: list[int], lines: list[int], limit: int, overlap: int)
 def oversized(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     """Rows over the limit of their suffix, with it. The limits are one row for each suffix; Spark broadcasts them by their size."""
     per = limits.select(F.lower("extension").alias("_ext"), "max_chars", "overlap_chars").where("max_chars > 0").dropDuplicates(["_ext"])
-    rows = chunks.select("chunk_id", "rel_path", "content", "start_line", "symbol_name").withColumn("_ext", suffix(F.col("rel_path")))
+    rows = chunks.select("chunk_id", "rel_path", "content", "start_line", "symbol_name", *(c for c in ("ingested_at",) if c in chunks.columns)).withColumn("_ext", suffix(F.col("rel_path")))
     return rows.join(per, "_ext").where(F.length("content") > F.col("max_chars"))
 
 
@@ -96,4 +98,6 @@ def pieces(chunks: DataFrame, limits: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=names)
 
     columns = ("chunk_id", "_ext", "content", "start_line", "symbol_name", "max_chars", "overlap_chars")
-    return oversized(chunks, limits).dropDuplicates(["chunk_id"]).select(*columns).mapInArrow(run, PIECES)
+    order = [c for c in ("ingested_at", "content") if c in chunks.columns]
+    once = keep_last(oversized(chunks, limits), ["chunk_id"], *map(F.desc_nulls_last, order))
+    return once.select(*columns).mapInArrow(run, PIECES)

@@ -4,11 +4,13 @@ Each text becomes a token stream; memoised partial derivatives of the language's
 without a derivative is where the file breaks; a derivative that isn't nullable at the end means it was cut off.
 
 Defined results: files with null content are no cases and in no rate; an empty text is valid where the grammar has the
-empty sentence (not in JSON); a suffix without a grammar is always valid; repeated rows of a chunk count once.
+empty sentence (not in JSON); a suffix without a grammar is always valid; repeated rows of a chunk count once. Files of a
+suffix that has a grammar by the table of kinds, but none here, can't be judged: they are left out with a warning.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,6 +25,9 @@ CHECKED = "project_id string, rel_path string, lang_name string, fault string, l
 
 def checked(chunks: DataFrame, kinds: DataFrame) -> DataFrame:
     """Every file whose suffix has a grammar: fault is null for valid ones, else unexpected or truncated with its line."""
+    missing = [r[0] for r in kinds.where("has_grammar").select(F.lower("extension").alias("e")).where(~F.col("e").isin(*TOKENS)).distinct().orderBy("e").limit(9).collect()]
+    if missing:
+        warnings.warn(f"files without a grammar here are not judged: {', '.join(missing)}", stacklevel=2)
     per = kinds.where("has_grammar").select(F.lower("extension").alias("_ext"), "lang_name").where(F.col("_ext").isin(*TOKENS)).dropDuplicates(["_ext"])
     known = chunks.withColumn("_ext", suffix(F.col("rel_path"))).join(per.select("_ext"), "_ext", "left_semi")
     texts = file_texts(known).where("text is not null").withColumn("_ext", suffix(F.col("rel_path"))).join(per, "_ext")

@@ -38,6 +38,18 @@ def test_nothing_outside_imports_this_subpackage():
 def test_a_session_without_a_shared_folder_gets_one_of_its_own():
     from types import SimpleNamespace
 
-    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(applicationId="none"))
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(applicationId="none", master="local[4]"))
     a, b = common.shared_dir(bare, "x"), common.shared_dir(bare, "x")
     assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0] and a.startswith("file://")
+    bare.sparkContext.master = "spark://h:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(bare, "x")
+
+
+def test_clean_up_deletes_what_was_written(spark):
+    import os
+
+    common.stored(spark.range(3), "gone")
+    mine = list(common._WRITTEN[spark.sparkContext.applicationId])
+    assert common.clean_up(spark) == len(mine) and not any(os.path.exists(p.removeprefix("file://")) for p in mine)
+    assert common.clean_up(spark) == 0

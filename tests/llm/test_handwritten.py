@@ -72,3 +72,21 @@ def test_operator(spark):
     assert got == {("p", "vendor/l/a.py", "third_party"), ("q", "src/copy.py", "copy"), ("r", "src/same.py", "copy"), ("s", "x/yarn.lock", "lock_file")}
     assert not_handwritten(files.limit(0), chunks).count() == 0
     assert {tuple(r) for r in not_handwritten(files, chunks.limit(0)).collect()} == {("p", "vendor/l/a.py", "third_party"), ("s", "x/yarn.lock", "lock_file")}
+
+
+def test_many_forms_and_many_copies_need_few_comparisons(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    base = [rng.choice(words) for _ in range(200)]
+
+    def form(n):
+        t = list(base)
+        t[rng.randrange(200)] = f"patched{n}"
+        return shingles(" ".join(t)).tolist()
+
+    far = lambda: shingles(" ".join(base[:100] + [rng.choice(words) for _ in range(100)])).tolist()
+    schema = "digest binary, shingles array<bigint>"
+    known = [(bytes([1, k]), form(k)) for k in range(12)] + [(bytes([4, k]), far()) for k in range(12)]
+    others = [(bytes([2, k]), form(100 + k)) for k in range(12)] + [(bytes([3, k]), far()) for k in range(5)]
+    want = {d for d, s in others for _, t in known if len(set(s) & set(t)) / len(set(s) | set(t)) >= 0.8}
+    assert {bytes(r["digest"]) for r in copies_of(spark.createDataFrame(known, schema), spark.createDataFrame(others, schema)).collect()} == want and len(want) >= 12

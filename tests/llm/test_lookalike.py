@@ -18,6 +18,17 @@ def test_different_to_a_reader():
         assert consistent(a) != consistent(b), (a, b)
 
 
+def test_more_shapes_and_tags():
+    lisu = "".join(map(chr, (0xA4D1, 0xA4EE, 0xA4E2)))  # reads PAS
+    for a, b in [
+        ("gas", chr(0x261) + chr(0x251) + "s"), ("COP", chr(0x2CA4) + chr(0x2C9E) + chr(0x2CA2)), ("PAS", lisu), ("a/b", "a" + chr(0x2215) + "b"), ("a-b", "a" + chr(0x2212) + "b"), ("real", "rea" + chr(0x4CF)),
+        ("unit", chr(0x3C5) + "n" + chr(0x3B9) + "t"), ("tag", "t" + chr(0xE0061) + "ag" + chr(0xE007F)), ("all", "a" + chr(0x1C0) + "l"),
+    ]:
+        assert consistent(a) == consistent(b), (a, b)
+    flag = lambda land: chr(0x1F3F4) + "".join(chr(0xE0000 + ord(c)) for c in land) + chr(0xE007F)
+    assert consistent(flag("gbeng")) != consistent(flag("gbsct")) and consistent(flag("gbeng")) != chr(0x1F3F4)
+
+
 def test_a_token_keeps_the_script_that_only_it_can_have():
     word = "п" + CYR_O + "иск"
     assert spelt("п" + "o" + "иск") == word == spelt(word)

@@ -55,3 +55,39 @@ def test_operator(spark):
     assert "".join(r["content"][r["repeated_chars"] :] for r in out) == body and out[0]["start_line"] == 11 and all(len(r["content"]) <= 3000 for r in out)
     assert out[1]["symbol_name"].startswith("f")
     assert boundary_lines(chunks.limit(0), limits).count() == 0
+
+
+def test_pieces_begin_at_the_boundaries_found_on_the_test_tables(spark):
+    import os
+    from bisect import bisect_right
+
+    import pytest
+    from codelode.llm.common import suffix, table
+
+    at = "/root/testdata/sf0.01"
+    if not os.path.isdir(at):
+        pytest.skip("no test tables here")
+    chunks, limits = table(spark, at, "chunks"), table(spark, at, "split_limits")
+    found, texts = {}, {}
+    for r in boundary_lines(chunks, limits).collect():
+        found.setdefault(r["chunk_id"], []).append(r["line_no"])
+    most = {r["extension"]: r["max_chars"] for r in limits.collect()}
+    for r in chunks.where("content is not null").select("chunk_id", "content", suffix(chunks["rel_path"]).alias("e")).collect():
+        texts[r["chunk_id"]] = (r["content"], most.get(r["e"]))
+    got = {}
+    for r in pieces(chunks, limits).collect():
+        got.setdefault(r["chunk_id"], []).append(r)
+    assert set(got) == set(found) and len(got) > 30
+    for key, rows in got.items():
+        text, limit = texts[key]
+        lines = [0, *(k + 1 for k, c in enumerate(text) if c == "\n")]
+        marks = sorted(lines[n - 1] for n in found[key])
+        new, before = 0, None
+        for r in sorted(rows, key=lambda r: r["piece"]):
+            assert len(r["content"]) <= limit
+            if before is not None:
+                k = bisect_right(marks, before[0] + limit) - 1
+                assert marks[k] <= before[1] or new == marks[k]  # the last boundary that the piece before could reach
+            before = (new - r["repeated_chars"], new)
+            new += len(r["content"]) - r["repeated_chars"]
+        assert new == len(text)

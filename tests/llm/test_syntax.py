@@ -98,3 +98,13 @@ def test_operator(spark):
     rates = {r["lang_name"]: (r["files"], r["invalid"]) for r in invalid_rates(chunks, kinds).collect()}
     assert rates == {"python": (3, 1), "json": (1, 1)}
     assert checked(chunks.limit(0), kinds).count() == 0
+
+
+def test_a_suffix_without_a_grammar_here_is_reported(spark):
+    import pytest
+    from codelode.llm.syntax import checked
+
+    chunks = spark.createDataFrame([("p", "a.zz", 0, 1, None, "x")], "project_id string, rel_path string, chunk_index int, chunk_id bigint, ingested_at timestamp, content string")
+    kinds = spark.createDataFrame([(".zz", "Zed", True)], "extension string, lang_name string, has_grammar boolean")
+    with pytest.warns(UserWarning, match=r"\.zz"):
+        assert checked(chunks, kinds).count() == 0
