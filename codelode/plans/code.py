@@ -19,6 +19,7 @@ from codelode.sources.tables import file_texts, table, valid_chunks, valid_files
 from . import invented as X
 from .registry import CHUNKS, FILES, LINES, TEXTS, escaped, listed, query
 
+PROJECT = "atlas-core"  # the project that hybrid_search and context_pack_fold search; a project is the unit of a search
 ASKED = "encode worker batch from the queue index and verify channel"
 SYMBOLS = "symbols_v as (select distinct * from symbols)"
 IMPORTS = "imports_v as (select distinct * from file_imports)"
@@ -162,20 +163,20 @@ counted as (select project_id, rel_path, keyword, count(*) as tf, min(pos) as fs
 top as (select project_id, rel_path, keyword from counted qualify row_number() over (partition by project_id, rel_path order by tf desc, fst) <= 20)"""
 
 
-def _atlas(rows):
-    """The one large project: a project is the unit of a search."""
-    return rows.where(F.col("project_id").startswith("atlas-core"))
+def _atlas(rows, project=PROJECT):
+    """The rows of the project that is searched."""
+    return rows.where(F.col("project_id").startswith(project))
 
 
-HYBRID = f"""{TEXTS.replace("from chunks_v group", "from chunks_v where starts_with(project_id, 'atlas-core') group")}, {TOP_WORDS},
+HYBRID = f"""{TEXTS.replace("from chunks_v group", f"from chunks_v where starts_with(project_id, '{PROJECT}') group")}, {TOP_WORDS},
 asked as (select unnest(ws) as keyword, generate_subscripts(ws, 1) as pos from (select regexp_extract_all(lower('{ASKED}'), '[a-z]{{3,}}') as ws)),
 terms as (select keyword from (select keyword, count(*) as tf, min(pos) as fst from asked where keyword not in ({STOP}) group by keyword) order by tf desc, fst limit 10),
 hits as (select t.keyword, t.rel_path from top t join terms using (keyword)),
 weights as (select keyword, ln(((select count(*) from texts) - count(*) + 0.5) / (count(*) + 0.5) + 1) as w from hits group by keyword),
 ws as (select distinct unnest(string_split(lower('{ASKED}'), ' ')) as word),
-sym as (select rel_path, 5.0 as w from (select distinct * from symbols where starts_with(project_id, 'atlas-core')) s join ws on lower(s.name) = ws.word),
+sym as (select rel_path, 5.0 as w from (select distinct * from symbols where starts_with(project_id, '{PROJECT}')) s join ws on lower(s.name) = ws.word),
 vec as (select vec_id, any_value(rel_path) as rel_path, any_value(list_transform(vector, lambda x: cast(x as double))) as v from chunk_vectors
-  where starts_with(project_id, 'atlas-core') and len(vector) = 384 and not list_bool_or(list_transform(vector, lambda x: isnan(x))) group by vec_id),
+  where starts_with(project_id, '{PROJECT}') and len(vector) = 384 and not list_bool_or(list_transform(vector, lambda x: isnan(x))) group by vec_id),
 q as (select v as qv from vec order by vec_id limit 1),
 sims as (select rel_path, vec_id, round(list_dot_product(v, qv), 9) as sim from vec, q order by round(list_dot_product(v, qv), 9) desc, rel_path, vec_id limit 10),
 contributions as (select rel_path, w from hits join weights using (keyword) union all select rel_path, w from sym union all select rel_path, 3 * sim from sims where sim > 0.3),
@@ -202,7 +203,7 @@ def hybrid_search(spark, folder):
 best as (select rel_path, row_number() over (order by round(score, 6) desc, rel_path) as file_rank from scores where round(score, 6) >= 0.2 order by file_rank limit 5),
 parts as (select file_rank, chunk_index, '=== ' || rel_path || ' [lines ' || cast(start_line as varchar) || '-' || cast(end_line as varchar) || ']' ||
     case when coalesce(symbol_name, '') <> '' then ' (' || symbol_name || ')' else '' end || ' ===' || chr(10) || content as part
-  from chunks_v join best using (rel_path) where starts_with(project_id, 'atlas-core') and content is not null),
+  from chunks_v join best using (rel_path) where starts_with(project_id, '{PROJECT}') and content is not null),
 numbered as (select *, row_number() over (order by file_rank, chunk_index, part) as i from parts where part is not null),
 fold as (select cast(0 as bigint) as i, cast(0 as bigint) as used, cast(-1 as bigint) as stopped, cast(0 as bigint) as n
   union all select m.i, case when f.stopped = m.file_rank or f.used >= 24000 or f.used + length(m.part) > 24000 then f.used else f.used + length(m.part) end,
