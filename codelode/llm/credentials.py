@@ -74,6 +74,8 @@ NETRC = re.compile(r"(?i)\blogin[ \t]+\S+\s+password[ \t]+(?P<v>\S{4,})")
 LITERAL = re.compile(r"(?<![A-Za-z0-9_])(?P<prefix>[rRbBuUfF]{1,2}(?=[\"']))?(?P<q>\\?\"\"\"|'''|\\?\"|\\?'|`)(?P<v>(?:(?!(?P=q))[^\n\\]|\\(?![\"'])[^\n]|\\\r?\n)*+)(?P=q)?")
 #: what follows a literal that is itself a name
 IS_KEY = re.compile(r"[ \t]*(?::(?![:=])[ \t]*[^\s#]|=>|=(?!=))")
+QUOTE, DIGIT, SPACE, LETTERS = re.compile(r"[\"'`]"), re.compile(r"\d"), re.compile(r"\s"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+JOINABLE = (" ", "\t", "+", ".", "\\", "\r", "\n", '"', "'", "`")  # what follows a literal that another one continues
 WRAP = re.compile(r"\\\r?\n")
 WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_.\-]*")
 #: names behind an operator on the right of a literal
@@ -97,7 +99,8 @@ VALUE = re.compile(r"[^\s\"'`,;()\[\]]++")
 #: a name, and its value as the next entry
 NAMED_ENTRY = re.compile(r"(?i)\bname[\"']?[ \t]*[:=][ \t]*[\"']?(?P<name>[A-Za-z_][\w.\-]*)[\"']?[ \t]*,?[ \t]*\r?\n?[ \t]*[\"']?value[\"']?[ \t]*[:=][ \t]*(?P<v>[^\s\"'`{}\[\]]+)")
 #: a long bare value under any other name
-UNNAMED = re.compile(NAME + r"[ \t]*(?::=|=>|=|:)[ \t]*(?<!//)(?P<v>[A-Za-z0-9+/_.~\-]{20,}+=*)(?=\s|$)")
+NAME_BEFORE = re.compile(NAME + r"[ \t]*:?$")
+UNNAMED = re.compile(r"(?:=>?|:)[ \t]*(?<!//)(?P<v>[A-Za-z0-9+/_.~\-]{20,}+=*)(?=\s|$)")
 JOIN = re.compile(r"(?:[ \t]*(?:\+|\.|\\)?[ \t]*\\?\r?\n?[ \t]*(?:\+|\.)?[ \t]*)[rbuf]{0,2}(?P<q>\"|'|`)(?P<v>[^\"'`\n]*)(?P=q)")
 PROSE = re.compile(r"(?i)\b(?:password|passwd|pwd|passphrase|passcode|token|secret|api[ _-]?key|credentials?|login)\b(?:[^\n\"'`=:]{0,40}?(?P<link>\b(?:is|with|to|was|are)\b|:|=))?[ \t]+[\"'`]?(?P<v>[^\s\"'`,;()]{6,})")
 PLACEHOLDER = re.compile(
@@ -252,12 +255,12 @@ class Finder:
             if TEMPLATE.search(value):
                 return False
             residual, words = self.seg.segments(value) if len(value) <= SLICE else (self.seg.residual(value), ())
-            if re.search(r"\s", value):  # words with blanks are a message unless much of them is unexplained
-                return residual >= 6 and residual * 3 >= len(value) and bool(re.search(r"\d", value))
+            if SPACE.search(value):  # words with blanks are a message unless much of them is unexplained
+                return residual >= 6 and residual * 3 >= len(value) and bool(DIGIT.search(value))
             if len(value) < 6:
-                return bool(re.search(r"\d", value) and re.search(r"[A-Za-z]", value)) and residual + len(words) > 0
-            return bool(re.search(r"\d", value) and re.search(r"[A-Za-z]", value)) or residual >= 5
-        if REFERENCE.search(value) or any(c.isspace() for c in value):
+                return bool(DIGIT.search(value) and re.search(r"[A-Za-z]", value)) and residual + len(words) > 0
+            return bool(DIGIT.search(value) and re.search(r"[A-Za-z]", value)) or residual >= 5
+        if REFERENCE.search(value) or SPACE.search(value):
             return False
         if HASHED.fullmatch(value):
             return kind == "secret" and len(value) >= 16
@@ -267,7 +270,7 @@ class Finder:
         if residual < 12 and re.fullmatch(r"[a-z_]+(?:[.\-/_][a-z_]+)*|[A-Z_]+|[a-zA-Z]+", value):
             return False
         if kind == "remark":
-            return residual >= 12 and bool(re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and re.search(r"\d", value))
+            return residual >= 12 and bool(re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and DIGIT.search(value))
         return residual >= RESIDUAL
 
     def _parts(self, text: str, at: int, join: re.Pattern | None = None) -> list[tuple[int, int]]:
@@ -347,17 +350,17 @@ class Finder:
         if "://" in needles:
             for m in ADDRESS.finditer(text):
                 value = m[1]
-                if len(value) >= 4 and not self.placeholder(value) and not TEMPLATE.search(value) and (re.search(r"\d", value) or self.seg.residual(value) >= 4):
+                if len(value) >= 4 and not self.placeholder(value) and not TEMPLATE.search(value) and (DIGIT.search(value) or self.seg.residual(value) >= 4):
                     add([m.span(1)])
-        for m in QUERY.finditer(text):
+        for m in QUERY.finditer(text) if "?" in text or "&" in text else ():
             if self.accept("secret", m[1]):
                 add([m.span(1)])
-        for m in HEADER.finditer(text):
+        for m in HEADER.finditer(text) if "auth" in needles else ():
             value = m[2]
             if not self.placeholder(value) and not REFERENCE.search(value) and (self.seg.residual(value) >= RESIDUAL or HASHED.fullmatch(value)) and not re.fullmatch(r"[a-z_]+", value):
                 add([m.span(2)])
-        for pattern in (USER_FLAG, PAIR, SHORT_FLAG, NETRC):
-            for m in pattern.finditer(text):
+        for pattern, marks in ((USER_FLAG, ("-u ", "-u\t", "-u=", "-user")), (PAIR, ("login", "credential")), (SHORT_FLAG, ("-p",)), (NETRC, ("login",))):
+            for m in pattern.finditer(text) if needles.intersection(marks) else ():
                 if self.accept("password", m["v"]):
                     add([m.span("v")])
         for m in FLAG.finditer(text):
@@ -366,7 +369,7 @@ class Finder:
                 add([m.span("v")])
         for m in PROSE.finditer(text):
             value = m["v"].rstrip(".!?:")
-            if re.search(r"\d", value) and re.search(r"[A-Za-z]", value) and not re.search(r"[=(){}\[\]]", value):
+            if DIGIT.search(value) and re.search(r"[A-Za-z]", value) and not re.search(r"[=(){}\[\]]", value):
                 if m["link"] is None and not (re.search(r"[a-z]", value) and re.search(r"[A-Z]|[^\w.\-/]", value)):
                     continue
                 if self.accept("password" if re.match(r"(?i)pass|pwd|login|cred", m[0]) else "secret", value):
@@ -442,10 +445,18 @@ class Finder:
         above = REMARK_LINE.match(text, text.rfind("\n", 0, max(begin - 1, 0)) + 1, max(begin - 1, 0)) if begin else None
         return any(m is not None and context("_".join(w for w in re.findall(r"[A-Za-z]+", m[1]) if w.lower() not in OTHER_WORDS)) in ("password", "secret") for m in (behind, above))
 
-    def _literals(self, text: str, add) -> None:
-        """Every quoted literal, scored by its residual against what the words on both sides of it promise."""
-        at, n = 0, len(text)
-        while (m := LITERAL.search(text, at)) is not None:
+    def _explained(self, value: str) -> bool:
+        """Whether a value can be told without segmentation to be no credential: no digit, and words of the dictionary or a sentence."""
+        if DIGIT.search(value):
+            return False
+        if SPACE.search(value):
+            return True
+        return sum(len(w) for w in LETTERS.findall(value) if w.lower() not in self.seg.cost) < 5
+
+    def _literals(self, text: str, add, at: int = 0, until: int | None = None, depth: int = 0) -> None:
+        """Every quoted literal, scored by its residual against what the words on both sides of it promise; then those within it."""
+        until = len(text) if until is None else until
+        while (m := LITERAL.search(text, at, until)) is not None:
             value, span = m["v"], m.span("v")
             closed = m.end() > span[1]
             if not closed and re.search(r"[\"'`\s]", value):
@@ -455,41 +466,41 @@ class Finder:
             if "\n" in value and not WRAP.search(value):
                 at = span[0]
                 continue
+            if depth < 2 and QUOTE.search(value):
+                self._literals(text, add, *span, depth + 1)
+            joined = closed and text[m.end() : m.end() + 1] in JOINABLE and JOIN.match(text, m.end(), until) is not None
+            if not joined and (len(value) < 4 or self._explained(value)):
+                continue
             if closed and IS_KEY.match(text, m.end()) and "?" not in text[max(0, m.start() - REACH) : m.start()].rpartition("\n")[2]:
                 continue
-            if value[:7].strip().lower() in ("bearer", "basic", "token") and closed and (parts := self._parts(text, m.end())):
+            if joined and value[:7].strip().lower() in ("bearer", "basic", "token") and (parts := self._parts(text, m.end())):
                 whole = "".join(text[x:y] for x, y in parts)
                 if self.accept("secret", whole):
                     add(parts)
                 continue
-            if len(value) < 4 or (m["prefix"] and "f" in m["prefix"].lower() and "{" in value):
-                if not (value and closed and JOIN.match(text, m.end())):
-                    continue
+            if (m["prefix"] and "f" in m["prefix"].lower() and "{" in value) or not value:
+                continue
             parts: list[tuple[int, int]] = []
             if wrap := WRAP.search(value):
                 parts = [(span[0] + wrap.end(), span[1])]
                 span, value = (span[0], span[0] + wrap.start()), value[: wrap.start()] + value[wrap.end() :]
-            if not any(c.isdigit() for c in value) and value.islower() and len(value) < 8 and not closed:
-                continue
-            if " " in value and len(value) > 80:
-                at = max(at if len(value) < 400 else 0, span[0]) if not closed else at
-                continue
             if closed and not parts:
-                parts = self._parts(text, m.end(), LISTED if JOINED.search(text, max(0, m.start() - 40), m.start()) else None)
+                listed = JOINED.search(text, max(0, m.start() - 40), m.start()) is not None
+                parts = self._parts(text, m.end(), LISTED if listed else None) if joined or listed else []
                 value += "".join(text[x:y] for x, y in parts)
             kind, name, passed = self._named(text, m.start())
             if not kind and closed and (after := COMPARED.match(text, m.end())):
                 kind = context(after["name"])
                 passed = True
             if kind == "pair":
-                if re.search(r"[a-z]", value) and re.search(r"\d", value) and re.search(r"[A-Z]|[^\w.\-:/]", value) and self.accept("password", value):
+                if re.search(r"[a-z]", value) and DIGIT.search(value) and re.search(r"[A-Z]|[^\w.\-:/]", value) and self.accept("password", value):
                     add([span, *parts])
                 continue
             if kind:
                 if self.accept(kind, value):
                     add([span, *parts])
                 continue
-            if len(value) < 12 or any(c.isspace() for c in value):
+            if len(value) < 12 or SPACE.search(value):
                 continue
             if PUBLIC_WORDS.intersection(name_words(name)) or not mixed(value) or HASHED.fullmatch(value):
                 continue
@@ -519,7 +530,7 @@ class Finder:
             following = text[span[1] : span[1] + 1]
             if following in ("(", "[") or (following == "{" and not value.endswith("$")):
                 continue
-            if operator == "" and not (mixed(value) or re.search(r"\d", value) and re.search(r"[^\w.\-/]", value)):
+            if operator == "" and not (mixed(value) or DIGIT.search(value) and re.search(r"[^\w.\-/]", value)):
                 continue
             if re.fullmatch(r"[a-z]+(?:[A-Z][a-z]+)+\d*|[A-Za-z_]\w*(?:\.\w+)+|\d[\d.]*", value) and self.seg.residual(value) < 12:
                 continue
@@ -537,15 +548,15 @@ class Finder:
     def _unnamed(self, text: str, add) -> None:
         """Bare values that nothing explains, under any name but those of public values."""
         for m in UNNAMED.finditer(text):
-            value = m["v"]
-            if PUBLIC_WORDS.intersection(name_words(m["name"])) or HASHED.fullmatch(value) or not mixed(value):
+            value, before = m["v"], NAME_BEFORE.search(text[max(0, m.start() - 120) : m.start()])
+            if before is None or PUBLIC_WORDS.intersection(name_words(before["name"])) or HASHED.fullmatch(value) or not mixed(value):
                 continue
             if self.seg.residual(value) >= UNNAMED_RESIDUAL and self.accept("key", value):
                 add([m.span("v")])
 
 
 def mixed(value: str) -> bool:
-    return bool(re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and re.search(r"\d", value))
+    return bool(re.search(r"[a-z]", value) and re.search(r"[A-Z]", value) and DIGIT.search(value))
 
 
 def dictionary(chunks: DataFrame, column: str = "content", kept: int = WORDS_KEPT) -> dict[str, int]:

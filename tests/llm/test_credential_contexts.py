@@ -23,6 +23,7 @@ def finder():
         'setPassword("Hook#next16")', 'client.login("admin", "Hook#next16")', 'auth=("admin", "Hook#next16")', 'requests.get(u, auth=("svc", "Hook#next16"))', 'const dbPass = "Hook#next16"', "DB_PASS=Hook#next16", 'passcode = "Hook#next16"',
         "<password>Hook#next16</password>", f'<add key="ApiSecret" value="{RANDOM}"/>', '<property name="password" value="Hook#next16"/>', "ENV DB_PASSWORD Hook#next16", "PGPASSWORD=Hook#next16 psql -h x", "curl -u a:Hook#next16 https://h", "mysql -u root -pHook#next16 db",
         "machine h.example login bob password Hook#next16", f'token = "".join(["{RANDOM}", "abc9"])', "// the password Hook#next16 works", 'password = "pa$$w0rd{9}"', 'password = "x9<Rt%4"', 'password = "Xq9 rT2 zz8 Lk"', 'pwd = "ab12"', 'if (password.equals("Hook#next16")) {',
+        """curl -d '{"user": "a", "password": "Hook#next16"}' https://h""", """cmd = "psql user=a password='Hook#next16' host=h" """, f"""x = '<a token="{RANDOM}" b="c">'""",
         "spring.datasource.password=Hook#next16", f'x = "{RANDOM}"  # prod api token', 'new UsernamePasswordCredentials("bob", "Hook#next16")', f'jwt.verify(tok, secret="{RANDOM}")', f"headers: {{ 'X-Api-Key': '{RANDOM}' }}", "--password=Hook#next16", f"--token {RANDOM}",
         f'val apiKey by lazy {{ "{RANDOM}" }}', 'os.Setenv("DB_PASSWORD", "Hook#next16")', "define('DB_PASSWORD', 'Hook#next16');", ':password => "Hook#next16"', "Password=Hook#next16;Server=x", '{"user":"a","pass":"Hook#next16"}', '{\\"password\\":\\"Hook#next16\\"}',
         "- name: DB_PASSWORD\n  value: Hook#next16\n", '{"name": "DB_PASSWORD",\n "value": "Hook#next16"}', '{"name": "DB_PASSWORD", "value": "Hook#next16"}', "password: |\n  Hook#next16\n", f"token: >-\n  {RANDOM}\n", 'password =\n   "Hook#next16"', 'setPassword(\n  "Hook#next16")',
