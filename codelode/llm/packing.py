@@ -28,7 +28,7 @@ from .tokens import token_counts
 
 GROUP = 4096  # texts that one task packs together
 NODES = 600  # search nodes for the fillings of one container
-ALL_NODES = 250_000  # search nodes for all containers of a group, for each number of containers asked for
+ALL_NODES = 400_000  # search nodes for all containers of a group, for each number of containers asked for
 ROUNDS = 40  # times that containers are undone and searched again
 FILLINGS = 8  # fillings of a container that are kept, those of least waste
 MOST_BUDGETS = 100  # kinds of containers in one call
