@@ -265,24 +265,24 @@ def judged(texts: DataFrame) -> DataFrame:
 
 
 WITNESSES = 4  # known texts of a shingle that are compared first; the others where these show no copy
-ORDER_SAMPLE = 2000  # texts from which the frequent shingles are known; they only order the prefixes
+ORDER_SAMPLE = 2000  # known texts from which the frequent shingles are known; they only order the prefixes
 
 
 def copies_of(known: DataFrame, others: DataFrame) -> DataFrame:
     """Digests of the others whose shingle set has a Jaccard similarity of SIMILAR or more with a known one. Exact.
 
     Both: (digest, shingles), equal texts may be repeated. In an order common to both sides, two such sets share one of
-    their first n - ceil(SIMILAR * n) + 1 shingles; frequent ones come last in that order, so that no hot key arises. Whole
+    their first n - ceil(SIMILAR * n) + 1 shingles; those frequent in the known ones come last in that order, so that no shingle has
+    many known texts (one with few of them meets any number of others in proportion). Whole
     sets are shuffled only for texts that are in a pair. One known text is enough for a copy: WITNESSES of each shingle are
     compared first, and only texts that these don't show to be copies are compared with all, so that many forms of a library
     and many copies of it don't give all their pairs.
     """
-    both = known.select("digest", "shingles").unionByName(others.select("digest", "shingles"))
-    part = max(1, both.count() // ORDER_SAMPLE)
-    sample = both.where(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0).select(F.explode("shingles").alias("s"))
+    part = max(1, known.count() // ORDER_SAMPLE)
+    sample = known.where(F.pmod(F.xxhash64("digest"), F.lit(part)) == 0).select(F.explode("shingles").alias("s"))
     counted = stored(sample.groupBy("s").count().where("count >= 10"), "frequent")
     frequent = [r["s"] for r in most_frequent(counted, "count", 20_000).collect()]
-    late = both.sparkSession.sparkContext.broadcast(np.array(sorted(frequent), dtype=np.int64))
+    late = known.sparkSession.sparkContext.broadcast(np.array(sorted(frequent), dtype=np.int64))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = late.value
@@ -319,6 +319,8 @@ def copies_of(known: DataFrame, others: DataFrame) -> DataFrame:
             .distinct()
         )
         pairs = stored(pairs, "similar")
+        if pairs.isEmpty():
+            return pairs.select("db")  # and no set is read
         needed = lambda df, c: possibly_in(df.select("digest", "shingles"), "digest", pairs, c).groupBy("digest").agg(F.first("shingles").alias("shingles"))
         sa, sb = needed(known, "da").toDF("da", "sa"), needed(others, "db").toDF("db", "sb")
         common = F.size(F.array_intersect("sa", "sb"))
