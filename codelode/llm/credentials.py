@@ -456,6 +456,7 @@ class Finder:
     def _literals(self, text: str, add, at: int = 0, until: int | None = None, depth: int = 0) -> None:
         """Every quoted literal, scored by its residual against what the words on both sides of it promise; then those within it."""
         until = len(text) if until is None else until
+        spent = -1  # end of the parts that a literal before was joined with; each of them is then judged alone
         while (m := LITERAL.search(text, at, until)) is not None:
             value, span = m["v"], m.span("v")
             closed = m.end() > span[1]
@@ -468,13 +469,13 @@ class Finder:
                 continue
             if depth < 2 and QUOTE.search(value):
                 self._literals(text, add, *span, depth + 1)
-            joined = closed and text[m.end() : m.end() + 1] in JOINABLE and JOIN.match(text, m.end(), until) is not None
+            joined = closed and m.start() >= spent and text[m.end() : m.end() + 1] in JOINABLE and JOIN.match(text, m.end(), until) is not None
             if not joined and (len(value) < 4 or self._explained(value)):
                 continue
             if closed and IS_KEY.match(text, m.end()) and "?" not in text[max(0, m.start() - REACH) : m.start()].rpartition("\n")[2]:
                 continue
             if joined and value[:7].strip().lower() in ("bearer", "basic", "token") and (parts := self._parts(text, m.end())):
-                whole = "".join(text[x:y] for x, y in parts)
+                whole, spent = "".join(text[x:y] for x, y in parts), parts[-1][1]
                 if self.accept("secret", whole):
                     add(parts)
                 continue
@@ -487,6 +488,7 @@ class Finder:
             if closed and not parts:
                 listed = JOINED.search(text, max(0, m.start() - 40), m.start()) is not None
                 parts = self._parts(text, m.end(), LISTED if listed else None) if joined or listed else []
+                spent = parts[-1][1] if parts else spent
                 value += "".join(text[x:y] for x, y in parts)
             kind, name, passed = self._named(text, m.start())
             if not kind and closed and (after := COMPARED.match(text, m.end())):

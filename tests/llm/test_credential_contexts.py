@@ -50,6 +50,10 @@ def test_a_long_token_on_a_long_line_is_found_whole(finder):
     assert [[text[a:b] for a, b in v] for v in finder.find(text)] == [[LONG]]
 
 
+def test_long_concatenations_take_no_square_time(finder):
+    assert finder.find('"ab12" + ' * 30_000) == [] and len(finder.find("token = " + '"F8oc9zYz" + ' * 30_000 + '"x"')) == 1
+
+
 def test_words_of_a_segmentation(finder):
     assert finder.seg.segments("packet-silent41") == (0, ("packet", "silent"))
     assert finder.seg.residual("zqxvw") == 5
